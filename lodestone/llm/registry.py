@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, mixing, token_counts
+from lodestone.llm import exact_dedup, fingerprints, language, mixing, packing, token_counts, toxicity
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_fingerprints": fingerprints.query,
     "op7_mixing": mixing.query,
+    "op8_language": language.query,
     "op9_token_counts": token_counts.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
 
