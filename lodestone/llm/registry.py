@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, fingerprints, language, mixing, packing, token_counts, toxicity
+from lodestone.llm import exact_dedup, fingerprints, language, mixing, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_fingerprints": fingerprints.query,
     "op7_mixing": mixing.query,
     "op8_language": language.query,

@@ -49,3 +49,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def rows_of(df: DataFrame, schema_order: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in schema_order])
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, salts: int = 16) -> DataFrame:
+    """Inner join where many rows of ``big`` may have one key, ``small`` having one row a key.
+
+    The rows of a key are dealt over ``salts`` groups, to each of which the key's row is copied.
+    """
+    (salt,) = fresh(big, "salt")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [key, salt]).drop(salt)
