@@ -1 +1 @@
-
+"""Sources: source trees, documents, references, gold sets, replies."""
