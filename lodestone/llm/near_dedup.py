@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import cut, salted_join, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, slot_blocks, table
 
 K = 64
 LOSS = 1e-9
@@ -174,13 +174,9 @@ def _slot_counts(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             if len(batch):
                 total += np.bincount(_slot_of(np.concatenate([_as_set(x) for x in batch["set"]])), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at.astype("int32"), "n": total[at]})
+        yield from slot_blocks(total)
 
-    found = sets.select("set").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, np.uint32)
-    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
-    return out
+    return merged_slots(sets.select("set").mapInPandas(run, SLOT_BLOCKS), SLOTS)
 
 
 def _entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,30 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salt_from: str, salt
     dealt = big.withColumn(salt, F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copied, [key, salt]).drop(salt)
+
+
+SLOT_BLOCKS = "block int, counts binary"
+BLOCKS = 64
+
+
+def slot_blocks(total: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A task's counts by slot, as BLOCKS compressed rows."""
+    raw = np.minimum(total, 2**32 - 1).astype("<u4").reshape(BLOCKS, -1)
+    yield pd.DataFrame({"block": np.arange(BLOCKS, dtype="int32"), "counts": [zlib.compress(x.tobytes(), 1) for x in raw]})
+
+
+def merged_slots(parts: DataFrame, slots: int) -> np.ndarray:
+    """The sum of all tasks' counts, a table of fixed size; it meets on the cluster, block by block."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch["block"], batch["counts"], strict=True):
+                part = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+                sums[block] = part if block not in sums else sums[block] + part
+        yield pd.DataFrame({"block": np.array(list(sums), "int32"), "counts": [np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in sums.values()]})
+
+    out = np.zeros((BLOCKS, slots // BLOCKS), np.uint32)
+    for r in parts.repartition("block").mapInPandas(merge, SLOT_BLOCKS).toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    return out.ravel()
