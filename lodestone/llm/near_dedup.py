@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, slot_blocks, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, salted_join, slot_blocks, table
 
 K = 64
 LOSS = 1e-9
@@ -138,7 +138,7 @@ def _sharing(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _slot(name: str, bits: int):
-    return F.pmod(F.xxhash64(name), F.lit(bits))
+    return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -277,5 +277,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each group the one with the least id.
+
+    Rows that a bitmap of the dropped ids clears pass straight through; only the others shuffle.
+    """
+    gone = cut(near_components(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")))
+    bits = filter_bits(gone.count())
+    page, bitmap, slot, hit = fresh(docs, "page", "bits", "slot", "hit")
+    slots = gone.select(_slot("gone", bits).alias(slot)).distinct()
+    pages = slots.groupBy(F.expr(f"{slot} div {PAGE}").alias(page)).agg(F.expr(f"bitmap_construct_agg({slot} % {PAGE})").alias(bitmap))
+    rows = docs.withColumn(slot, _slot(f"`{id_col}`", bits)).join(F.broadcast(pages), F.floor(F.col(slot) / PAGE) == F.col(page), "left")
+    rows = rows.withColumn(hit, _hit(bitmap, F.col(slot)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    asked = rows.filter(hit).select(*columns).join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    return rows.filter(~F.col(hit)).select(*columns).union(asked)
+
+
 def query(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)

@@ -3,8 +3,9 @@
 Only the histogram of piece lengths (as many numbers as the capacity) is planned on the
 driver; documents meet the plan by their rank among the pieces of their length.
 
-1. Pieces longer than ``LARGE`` of the capacity are sorted and cut into ``GROUPS`` groups of
-   equal cardinality; each length is rounded up to the longest of its group.
+1. Pieces longer than a share of the capacity (each of ``LARGE`` is tried, the plan with the
+   fewest sequences is used) are sorted and cut into ``GROUPS`` groups of equal
+   cardinality; each length is rounded up to the longest of its group.
 2. The few rounded sizes are packed by configurations: column generation solves the linear
    programme over all ways to fill a sequence, and each configuration is used the whole
    number of times below its optimum.
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import cut, table
 
 CAPACITY = 2048
-LARGE = 0.25
-GROUPS = 48
+LARGE = (0.25, 0.34, 0.42, 0.5)
+GROUPS = 96
 CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k"
 ROWS_PER_BUCKET = 20_000
@@ -125,7 +126,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 class Plan:
     """Rules (length, first rank, end rank, first sequence, pieces a sequence, offset)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE[0], groups: int = GROUPS):
         self.capacity, self.rules, self.sequences = capacity, [], 0
         self.rank: dict[int, int] = defaultdict(int)
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -218,6 +219,19 @@ class Plan:
         return (rules[:, 0] << 44) + rules[:, 1], rules
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Of the plans by several bounds between large and small pieces, the one with the fewest sequences."""
+    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best = None
+    for large in LARGE:
+        plan = Plan(counts, capacity, large)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
 def locate(length: np.ndarray, rank: np.ndarray, keys: np.ndarray, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of the pieces of the given lengths and ranks."""
     r = rules[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
@@ -289,7 +303,7 @@ def pack(
     """Every piece of every document with its sequence_id and its offset there."""
     pieces = cut(token_pieces(docs, id_col, text_col, capacity, vocabulary, with_ids))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
-    keys, rules = Plan(counts, capacity).lookup()
+    keys, rules = best_plan(counts, capacity).lookup()
     plan = docs.sparkSession.sparkContext.broadcast((keys, rules))
     buckets = max(8, -(-sum(counts.values()) // ROWS_PER_BUCKET))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
