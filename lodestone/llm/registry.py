@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, token_counts, toxicity
+from lodestone.llm import chat, exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_line_dedup": line_dedup.query,
     "op3_chat_formatting": chat.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_near_dedup": near_dedup.query,

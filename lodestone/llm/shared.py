@@ -72,8 +72,8 @@ BLOCKS = 64
 
 def slot_blocks(total: np.ndarray) -> Iterator[pd.DataFrame]:
     """A task's counts by slot, as BLOCKS compressed rows."""
-    raw = np.minimum(total, 2**32 - 1).astype("<u4").reshape(BLOCKS, -1)
-    yield pd.DataFrame({"block": np.arange(BLOCKS, dtype="int32"), "counts": [zlib.compress(x.tobytes(), 1) for x in raw]})
+    raw = [np.minimum(x.astype(np.int64), 2**32 - 1).astype("<u4").tobytes() for x in total.reshape(BLOCKS, -1)]
+    yield pd.DataFrame({"block": np.arange(BLOCKS, dtype="int32"), "counts": [zlib.compress(x, 1) for x in raw]})
 
 
 def merged_slots(parts: DataFrame, slots: int) -> np.ndarray:
