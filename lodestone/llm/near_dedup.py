@@ -253,6 +253,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both(with_both(pairs, "sketch", estimate), "set", exact)
 
 
+def _joined(of_class: DataFrame, comps: DataFrame, more: DataFrame) -> DataFrame:
+    """``of_class`` with the components that the further links ``more`` connect made one."""
+    edges = more
+    for side in ("a", "b"):
+        known = comps.select(F.col("node").alias(side), F.col("component").alias("c"))
+        edges = edges.join(known, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    above = components(edges).select(F.col("node").alias("component_id"), F.col("component").alias("top"))
+    return of_class.join(above, "component_id", "left").select("digest", F.coalesce("top", "component_id").alias("component_id"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a row: doc_id, n_shingles, component_id (least linked id), kept."""
     rows = cut(sketched(docs, id_col, text_col, size))
@@ -265,9 +275,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_verified(_star_pairs(entries, percent), sets, percent))
     comps = components(links)
     more = cut(_verified(cut(_rest_pairs(entries, comps, percent)), sets, percent))
-    if not more.isEmpty():
-        comps = components(links.union(more))
     of_class = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    if not more.isEmpty():
+        of_class = _joined(of_class, comps, more)
     small = rows.select("doc_id", "n", "digest")
     found = salted_join(small.filter("n > 0"), of_class, "digest", "doc_id").select("doc_id", "n", "component_id")
     empty = small.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
