@@ -20,6 +20,7 @@ Defined results
 Scale: texts are not shuffled by ``mix_plan``; prefix sums have two levels, (source, bucket) on the
 cluster and one number per bucket, so a source with a third of all rows is dealt over as
 many tasks as its buckets.  Per source, one total goes to the driver (a few bytes each).
+Output shards are as many as ``WORDS_PER_SHARD`` fills, ``MAX_SHARDS`` at most.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
 ROWS_PER_BUCKET = 10_000
 MAX_BLOCKS = 1 << 28
+WORDS_PER_SHARD = 2_000_000
+MAX_SHARDS = 1 << 16
+#: The shards' last blocks are looked up in groups of so many.
+FAN = 256
 #: The table of sources is broadcast up to so many sources, and joined by shuffle beyond.
 BROADCAST_SOURCES = 10_000
 
@@ -90,7 +95,7 @@ def mix_plan(
     size_col: str,
     id_col: str = "doc_id",
     source_col: str = "source",
-    shards: int = 64,
+    shards: int | None = None,
     seed: int = 17,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns added for its part in the mix; returns (rows, names of the added columns).
@@ -117,6 +122,7 @@ def mix_plan(
     name = {s: None if s == "n" else s[1:] for s in total}
     goal = targets({name[s]: w for s, w in total.items()})
     quota = {s: min(CAP * total[s], round(goal[name[s]])) for s in total}
+    shards = shards or min(MAX_SHARDS, max(1, -(-sum(quota.values()) // WORDS_PER_SHARD)))
     block = max(64, math.ceil(sum(quota.values()) / MAX_BLOCKS))
     order = sorted(total)
     blocks = [-(-quota[s] // block) for s in order]
@@ -126,9 +132,10 @@ def mix_plan(
         rng = random.Random(f"{seed}:{s}")
         count = max(1, blocks[i])
         ends = np.cumsum([shard[i] for shard in per_shard]).tolist()
+        ends = [ends[j : j + FAN] for j in range(0, shards, FAN)]
         lines.append((s, (total[s], goal[name[s]], quota[s], count, _coprime(count, rng), rng.randrange(count), ends)))
     sources = docs.sparkSession.createDataFrame(
-        lines, f"{src} string, {plan} struct<total:long,goal:double,quota:long,blocks:long,mul:long,add:long,ends:array<long>>"
+        lines, f"{src} string, {plan} struct<total:long,goal:double,quota:long,blocks:long,mul:long,add:long,ends:array<array<long>>>"
     )
     if len(lines) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
@@ -144,7 +151,8 @@ def mix_plan(
         at = of("total") * i + F.col(start)
         words = F.least(F.greatest(of("quota") - at, F.lit(0)), size)
         moved = F.pmod(F.floor(at / block) * of("mul") + of("add"), of("blocks"))
-        shard = F.size(F.filter(of("ends"), lambda e: e <= moved))
+        group = F.size(F.filter(of("ends"), lambda e: F.element_at(e, -1) <= moved))
+        shard = group * FAN + F.size(F.filter(F.get(of("ends"), group), lambda e: e <= moved))
         return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), ident, i).alias("place"), words.alias("words"))
 
     draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CAP)), draw), lambda d: d["words"] > 0)
@@ -157,7 +165,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, one row each time a document is taken.
 
     Rows are dealt to the output shards as the tree says and lie in each shard in its local
@@ -175,7 +183,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(cutting, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    rows = rows.repartition(shards, F.col(f"{one}.shard")).sortWithinPartitions(f"{one}.shard", f"{one}.place")
+    rows = rows.repartition(F.col(f"{one}.shard")).sortWithinPartitions(f"{one}.shard", f"{one}.place")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
