@@ -42,11 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, slot_blocks, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, slot_blocks, stored, table
 
 PERCENT = 80
 SLOTS = 1 << 23
-SHORT = 64
+SHORT = 512
+#: Tokens of long lists are broadcast up to so many, and joined by shuffle beyond.
+BROADCAST_TOKENS = 1_000_000
 SALTS = 8
 BUFFER = 1 << 20
 LOWEST = -(1 << 63)
@@ -91,7 +93,7 @@ def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = _Powers.upto(len(a))
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    line = np.searchsorted(np.flatnonzero(a == 10), starts)
+    line = np.cumsum(a == 10, dtype=np.int64)[starts]
     return _mix((sums[ends] - sums[starts]) * down[starts]), line
 
 
@@ -115,7 +117,11 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def sorted_sets(hashes: np.ndarray, line: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines with tokens, where each one's set begins, tokens): distinct, rarest first, or by hash without ``rarity``."""
-    order = np.lexsort((hashes, line)) if rarity is None else np.lexsort((hashes, rarity[_slot(hashes)], line))
+    rare = np.uint8(0) if rarity is None else rarity[_slot(hashes)]
+    if len(line) and line[-1] < 1 << 20:  # line, rarity and hash in one sort key; the hash's low 28 bits never decide in practice
+        order = np.argsort(line.astype(np.uint64) << np.uint64(44) | np.multiply(rare, 1 << 36, dtype=np.uint64) | hashes >> np.uint64(28))
+    else:
+        order = np.lexsort((hashes, np.broadcast_to(rare, line.shape), line))
     h, n = hashes[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
@@ -219,8 +225,12 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
     return met.select(*cols, _apart(a, b).alias("apart"))
 
 
+def _sized(tokens: DataFrame) -> DataFrame:
+    return F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens
+
+
 def _short_pairs(entries: DataFrame, long_tokens: DataFrame, percent: int) -> DataFrame:
-    rows = entries.join(long_tokens, "token", "left_anti")
+    rows = entries.join(_sized(long_tokens), "token", "left_anti")
     met = rows.alias("a").join(rows.alias("b"), "token")
     return _pairs(met.filter(_before("a", "b") & _may_match("a", "b", percent)), "a", "b")
 
@@ -320,15 +330,15 @@ def _matches(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of rows (doc, text): doc, line of each line that goes, and the earlier line (to_doc, to_line) that it matches."""
-    rows = cut(line_rows(docs, word_counts(docs), percent))
+    rows = stored(line_rows(docs, word_counts(docs), percent))
     first = F.min(F.struct("doc", "line"))
     classes = rows.groupBy("sa", "sb", "n").agg(first.alias("f"), F.first(F.struct("own", "bits", "tokens")).alias("t"))
-    classes = cut(classes.select("sa", "sb", "n", "f.doc", "f.line", "t.own", "t.bits", "t.tokens"))
+    classes = stored(classes.select("sa", "sb", "n", "f.doc", "f.line", "t.own", "t.bits", "t.tokens"))
     entries = classes.select("doc", "line", "n", "bits", F.posexplode("tokens").alias("at", "token"), "own")
     entries = entries.select("token", "doc", "line", "n", (F.col("at") + F.col("own")).alias("at"), "bits")
     long_tokens = cut(entries.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > SHORT).select("token"))
     short = _short_pairs(entries, long_tokens, percent)
-    hot = cut(entries.join(long_tokens, "token", "left_semi"))
+    hot = cut(entries.join(_sized(long_tokens), "token", "left_semi"))
     found = _matches(docs, short.union(_star_pairs(hot, percent)), percent)
     rest = cut(_rest_pairs(hot, found, percent))
     if not rest.isEmpty():
