@@ -152,10 +152,12 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
         return pd.Series(list(np.column_stack(slots(gram.to_numpy(np.int64).view(np.uint64))).astype("int32")))
 
     taken = sums.filter((F.col("gram") != 0) & (F.col("n") >= least)).select("lang", F.explode(slots_of("gram")).alias("slot"))
-    table_ = taken.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask")).toPandas()  # SLOTS rows at most
+    by_slot = taken.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask"))
+    pages = by_slot.groupBy(F.expr(f"slot div {SLOTS // 64}")).agg(F.collect_list("slot").alias("slots"), F.collect_list("mask").alias("masks"))
     width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
     masks = np.zeros(SLOTS, width)
-    masks[table_["slot"].to_numpy()] = table_["mask"].to_numpy(np.int64).view(np.uint64).astype(width)
+    for page in pages.toLocalIterator():  # 64 pages of SLOTS / 64 slots at most
+        masks[np.array(page["slots"])] = np.array(page["masks"], np.int64).view(np.uint64).astype(width)
     return Filters(languages, masks, index[max(sorted(counts), key=counts.get)])
 
 
