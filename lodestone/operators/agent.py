@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import MAX_ATTEMPTS, MIN_ANSWER_CHARS, PROMPT_CHUNK_CHARS, QUERY_CHARS
 from lodestone.functions.text import basename, citation_end, citation_file, citation_start, citations
+from lodestone.lineage import cut
 
 NO_EVIDENCE, NO_CITATIONS, FABRICATED, CRITIC = "no_evidence", "no_citations", "fabricated", "critic"
 #: How bad a failed attempt is, worst last.
@@ -89,11 +90,11 @@ def parse_critic(reply: Column) -> dict[str, Column]:
     """grounded, reason, query of a critic's reply; the last line of each key counts, malformed means grounded."""
 
     def last(key: str) -> Column:
-        values = F.regexp_extract_all(reply, F.lit(rf"(?im)^[ \t]*{key}[ \t]*:[ \t]*(.*?)[ \t\r]*$"), F.lit(1))
+        values = F.regexp_extract_all(reply, F.lit(rf"(?im)^[ \t]*{key}[ \t]*:[ \t]*+(.*?)[ \t\r]*$"), F.lit(1))
         return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(""))
 
     grounded = ~F.startswith(F.lower(last("GROUNDED")), F.lit("no"))
-    asked = F.regexp_extract_all(reply, F.lit(r"(?im)^[ \t]*QUERY[ \t]*:[ \t]*(?!NONE[ \t\r]*$)(.*?)[ \t\r]*$"), F.lit(1))
+    asked = F.regexp_extract_all(reply, F.lit(r"(?im)^[ \t]*QUERY[ \t]*:[ \t]*+(?!NONE[ \t\r]*$)(.*?)[ \t\r]*$"), F.lit(1))
     query = F.coalesce(F.try_element_at(asked, F.lit(-1)), F.lit(""))
     return {"grounded": grounded, "reason": last("REASON"), "followup": F.when(grounded, "").otherwise(query), "kind": F.when(grounded, "").otherwise(CRITIC)}
 
@@ -154,14 +155,15 @@ def run_agent(questions: DataFrame, retrieve, generate, critic=None, key: str =
 
     ``retrieve(rows)``: (key, query) to (key, id, rank, file, start, end, block).  ``generate(rows)``:
     (key, question, context, note) adds ``answer``.  ``critic(rows)`` adds ``reply``; without it what
-    passes the mechanical rules counts as grounded.  Returns key, answer, kind, grounded, attempts.
+    passes the mechanical rules counts as grounded.  Each pass is written to the checkpoint folder, so that no
+    model is called again for rows that are done.  Returns key, answer, kind, grounded, attempts.
     """
     active = questions.select(key, "question", F.col("question").alias("query"), F.lit("").alias("note"))
     seen = done = None
     for attempt in range(1, MAX_ATTEMPTS + 1):
         searched = active.filter("query <> ''")
         found = retrieve(searched.select(key, "query")).withColumn("attempt", F.lit(attempt))
-        seen = found if seen is None else seen.unionByName(found)
+        seen = cut(found if seen is None else seen.unionByName(found))
         evidence = merge_evidence(seen, key)
         context = evidence.groupBy(key).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]), "\n\n").alias("context"),
@@ -184,15 +186,14 @@ def run_agent(questions: DataFrame, retrieve, generate, critic=None, key: str =
             passed = asked.withColumns(parse_critic(F.col("reply"))).drop("reply")
         now = mechanical.unionByName(passed, allowMissingColumns=True).withColumn("attempt", F.lit(attempt))
         keep = [key, "question", "answer", "kind", "grounded", "attempt", "followup", "evidence"]
-        now = now.select(*keep)
+        now = cut(now.select(*keep))
         done = now if done is None else done.unionByName(now)
         tried = done.groupBy(key).agg(F.sum((F.col("kind") == NO_CITATIONS).cast("int")).alias("uncited"))
         choice = now.join(tried, key).withColumns({"attempts": F.col("attempt"), "queries": F.lit(1)}).withColumn("next", decision())
-        active = choice.filter("next <> 'end'").select(
-            key,
-            "question",
-            F.when(F.col("next") == "search", F.when(F.col("followup") == "", F.col("question")).otherwise(F.col("followup"))).otherwise("").alias("query"),
-            F.col("kind").alias("note"),
-        )
+        follow = F.when(F.col("followup") == "", F.col("question")).otherwise(F.col("followup"))
+        query = F.when(F.col("next") == "search", follow).otherwise("")
+        active = cut(choice.filter("next <> 'end'").select(key, "question", query.alias("query"), F.col("kind").alias("note")))
+        if active.isEmpty():
+            break
     last = done.groupBy(key).agg(F.max("attempt").alias("attempts"), F.max_by("grounded", "attempt").alias("grounded"))
     return least_bad(done, key).select(key, "answer", "kind").join(last, key)

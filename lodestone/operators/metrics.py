@@ -58,7 +58,7 @@ def stratified_head(rows: DataFrame, strata: list[str], order: str, limit: int,
 
 def cell(value: Column, places: int = 3) -> Column:
     """A number of a report; null prints as n/a."""
-    return F.coalesce(F.format_string(f"%.{places}f", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string(f"%.{places}f", value))
 
 
 def markdown(rows: list, columns: list[str]) -> str:

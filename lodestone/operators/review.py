@@ -64,8 +64,8 @@ def parse_diff(diffs: DataFrame, key: str = "diff_id", text_col: str = "text") -
     first = Window.partitionBy(key, "file_no", "opened").orderBy("seq")
     rows = rows.withColumns(
         {
-            "old_start": F.first(group(1).cast("int")).over(first),
-            "new_start": F.first(group(3).cast("int")).over(first),
+            "old_start": F.first(group(1).try_cast("int")).over(first),
+            "new_start": F.first(group(3).try_cast("int")).over(first),
             "heading": F.trim(F.first(group(5)).over(first)),
             "path": F.first("path").over(first),
         }

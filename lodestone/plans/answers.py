@@ -110,12 +110,12 @@ def reflect_verdict(spark, d):
 
 
 ATTEMPTS_SQL = """
-att AS (SELECT conv_id, turn AS attempt, text AS answer, (['', 'critic', 'no_citations', 'fabricated', 'no_evidence'])[(length(text) % 5) + 1] AS kind FROM conversations WHERE turn < 3)"""
+att AS (SELECT conv_id, turn AS attempt, text AS answer, (['', 'critic', 'no_citations', 'fabricated', 'no_evidence'])[(length(text) % 5) + 1] AS kind FROM conversations)"""
 
 
 def attempts(spark, d):
     kinds = F.array(*[F.lit(k) for k in agent.SEVERITY])
-    rows = table(spark, d, "conversations").filter("turn < 3")
+    rows = table(spark, d, "conversations")
     return rows.select("conv_id", F.col("turn").alias("attempt"), F.col("text").alias("answer"), F.element_at(kinds, F.length("text") % 5 + 1).alias("kind"))
 
 
@@ -214,7 +214,7 @@ def judge_citation(spark, d):
     return answers(spark, d).select("doc_id", F.when(hit, 1.0).when(named, 0.5).otherwise(0.0).alias("score"))
 
 
-@register("agent_loop", "SELECT * FROM (VALUES (1, true, 1), (2, true, 2), (3, false, 2), (4, false, 1)) t(query_id, grounded, attempts)")
+@register("agent_loop", "SELECT * FROM (VALUES (1, true, 1), (2, true, 2), (3, false, 2), (4, false, 3)) t(query_id, grounded, attempts)")
 def agent_loop(spark, d):
     """The bounded loop with a scripted provider: answered, corrected, never cited, nothing found."""
     asked = spark.createDataFrame([(1, "good"), (2, "fixes itself"), (3, "never cites"), (4, "nothing")], "query_id int, question string")

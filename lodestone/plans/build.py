@@ -20,25 +20,25 @@ def cache_key(spark, d):
 
 @register(
     "embed_cache_hit_miss",
-    """WITH k AS (SELECT doc_id, sha256('m' || chr(0) || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+    """WITH k AS (SELECT doc_id, lang, sha256('m' || chr(0) || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE lang = 'en')
 SELECT count(*) AS total, count(DISTINCT CASE WHEN c.key IS NULL THEN k.key END) AS computed, count(c.key) AS cached, round(count(c.key)::DOUBLE / count(*), 6) AS hit_rate
 FROM k LEFT JOIN c USING (key)""",
 )
 def embed_cache_hit_miss(spark, d):
-    keys = documents(spark, d).select("doc_id", ib.cache_key("m", F.col("text")).alias("key"))
-    cache = keys.filter("doc_id % 3 = 0").select("key").distinct()
+    keys = documents(spark, d).select("doc_id", "lang", ib.cache_key("m", F.col("text")).alias("key"))
+    cache = keys.filter("lang = 'en'").select("key").distinct()
     return ib.cache_stats(keys, cache).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 @register(
     "upsert_merge",
-    """WITH o AS (SELECT doc_id, n_chars, 'old' AS origin FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, n_chars + 1 AS n_chars, 'new' AS origin FROM documents WHERE doc_id % 3 = 0)
+    """WITH o AS (SELECT doc_id, n_chars, 'old' AS origin FROM documents WHERE lang IN ('en', 'fr')), n AS (SELECT doc_id, n_chars + 1 AS n_chars, 'new' AS origin FROM documents WHERE lang IN ('fr', 'de'))
 SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (doc_id)""",
 )
 def upsert_merge(spark, d):
     docs = documents(spark, d)
-    old = docs.filter("doc_id % 2 = 0").select("doc_id", "n_chars", F.lit("old").alias("origin"))
-    new = docs.filter("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("new").alias("origin"))
+    old = docs.filter("lang IN ('en', 'fr')").select("doc_id", "n_chars", F.lit("old").alias("origin"))
+    new = docs.filter("lang IN ('fr', 'de')").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit("new").alias("origin"))
     return ib.upsert(old, new, "doc_id")
 
 

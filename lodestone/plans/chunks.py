@@ -103,7 +103,7 @@ CODE_SPANS = [(0, 1, "function", "a"), (4, 5, "function", "b"), (10, 11, "functi
 
 @register(
     "structural_absorb",
-    "SELECT * FROM (VALUES (1, 3, 'function', 'a'), (5, 7, 'function', 'b'), (8, 10, 'module', '<module>'), (11, 13, 'function', 'c')) t(start_line, end_line, kind, symbol)",
+    "SELECT * FROM (VALUES (1, 3, 'function', 'a'), (5, 6, 'function', 'b'), (7, 10, 'module', '<module>'), (11, 13, 'function', 'c')) t(start_line, end_line, kind, symbol)",
 )
 def structural_absorb(spark, d):
     """Gaps of literal lines: those that only close a construct go to it."""
@@ -116,7 +116,7 @@ def structural_absorb(spark, d):
     f"""WITH {LINES_SQL}, n AS (SELECT doc_id, max(line_no) AS n FROM l GROUP BY doc_id),
 x AS (SELECT doc_id, 'ten' || i AS name, i * 10 + 1 AS lo, i * 10 + 8 AS hi FROM n, unnest(range(0, n // 10 + 1)) t(i)
   UNION ALL SELECT doc_id, 'thirty' || i, i * 30 + 1, i * 30 + 29 FROM n, unnest(range(0, n // 30 + 1)) t(i)),
-g AS (SELECT doc_id, line_no AS start_line, line_no + 2 AS end_line FROM l WHERE line_no % 4 = 0),
+g AS (SELECT doc_id, line_no AS start_line, line_no + 2 AS end_line FROM l),
 m AS (SELECT g.*, x.name, row_number() OVER (PARTITION BY g.doc_id, g.start_line ORDER BY hi - lo, name) AS nth FROM g LEFT JOIN x ON g.doc_id = x.doc_id AND lo <= start_line AND end_line <= hi)
 SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line, CASE WHEN name IS NULL THEN 'module' ELSE 'class' END AS kind, coalesce(name, '<module>') AS symbol FROM m WHERE nth = 1""",
 )
@@ -128,7 +128,7 @@ def enclosing_range(spark, d):
         i = F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))).alias("i")
         return n.select("doc_id", i).select("doc_id", F.concat(F.lit(name), F.col("i").cast("string")).alias("name"), (F.col("i") * step + 1).alias("lo"), (F.col("i") * step + last).alias("hi"))
 
-    gaps = rows.filter("line_no % 4 = 0").select("doc_id", F.col("line_no").alias("start_line"), (F.col("line_no") + 2).alias("end_line"))
+    gaps = rows.select("doc_id", F.col("line_no").alias("start_line"), (F.col("line_no") + 2).alias("end_line"))
     return lines.enclosing(gaps, extents("ten", 10, 8).union(extents("thirty", 30, 29)), "doc_id")
 
 

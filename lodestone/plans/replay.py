@@ -14,14 +14,14 @@ def stream(spark, d):
 
 @register(
     "ttft_metrics",
-    """WITH s AS (SELECT user_id, event_type, epoch_ms(ts::TIMESTAMP)::DOUBLE / 1000 AS sec FROM events),
+    """WITH s AS (SELECT user_id, event_type, epoch_us(ts)::DOUBLE / 1000000 AS sec FROM events),
 t AS (SELECT user_id, min(sec) AS t0, min(CASE WHEN event_type = 'click' THEN sec END) AS t1, max(CASE WHEN event_type IN ('purchase', 'error') THEN sec END) AS t2,
   count(CASE WHEN event_type = 'click' THEN 1 END) AS tokens FROM s GROUP BY user_id),
 m AS (SELECT user_id, round_even((t1 - t0) * 1000, 1) AS ttft_ms, round_even((t2 - t0) * 1000, 1) AS total_ms, round_even((t2 - t1) * 1000, 1) AS generation_ms, tokens FROM t)
 SELECT *, CASE WHEN generation_ms > 0 AND tokens > 0 THEN round_even(tokens / (generation_ms / 1000), 1) END AS tokens_per_second FROM m""",
 )
 def ttft_metrics(spark, d):
-    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) / 1000
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     return ev.timings(stream(spark, d), "user_id", "event_type", seconds, ("click",), ("purchase", "error"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.config import STOPWORDS
+from lodestone.config import STOPWORDS, VECTOR_POOL
 from lodestone.functions.text import mentions_identifier, tokenize
 from lodestone.operators import bm25, retrieval
 from lodestone.operators.fusion import explain, fuse
@@ -82,30 +82,30 @@ pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label,
 @register(
     "vector_topk",
     f"""WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)
-SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""",
+SELECT query_id, id, score, rank FROM r WHERE rank <= 20""",
 )
 def vector_topk_query(spark, d):
     vectors = table(spark, d, "embeddings")
     found = vector_topk(vectors, vectors.filter("vec_id % 50 = 0"), 20)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "id", "score", "rank")
 
 
 @register(
     "vector_topk_per_label",
     f"""WITH {COSINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM pairs)
-SELECT query_id, label::BIGINT AS label, id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
+SELECT query_id, label::BIGINT AS label, id, score, rank FROM r WHERE rank <= 3""",
 )
 def vector_topk_per_label(spark, d):
     vectors = table(spark, d, "embeddings")
     found = vector_topk(vectors, vectors.filter("vec_id % 50 = 0"), 3, group_col="label")
-    return found.select("query_id", F.col("grp").alias("label"), "id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", F.col("grp").alias("label"), "id", "score", "rank")
 
 
 # Two rankings of the same documents for each language, by length and by length modulo 97.
 RANKINGS_SQL = """
 a AS (SELECT lang AS query_id, 'vector' AS retriever, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 b AS (SELECT lang AS query_id, 'bm25' AS retriever, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 97 DESC, doc_id) AS rank FROM documents),
-rankings AS (SELECT * FROM a WHERE rank <= 200 UNION ALL SELECT * FROM b WHERE rank <= 200)"""
+rankings AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20)"""
 
 
 def rrf_sql(weight_vector: float, weight_bm25: float) -> str:
@@ -119,8 +119,8 @@ SELECT query_id, id, round(score, 9) AS score, rank, explained FROM r WHERE rank
 
 def two_rankings(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), "n_chars")
-    a = bm25.ranked(docs, 200, F.desc("n_chars"), F.asc("id")).withColumn("retriever", F.lit("vector"))
-    b = bm25.ranked(docs, 200, F.desc(F.col("n_chars") % 97), F.asc("id")).withColumn("retriever", F.lit("bm25"))
+    a = bm25.ranked(docs, VECTOR_POOL, F.desc("n_chars"), F.asc("id")).withColumn("retriever", F.lit("vector"))
+    b = bm25.ranked(docs, VECTOR_POOL, F.desc(F.col("n_chars") % 97), F.asc("id")).withColumn("retriever", F.lit("bm25"))
     return a.unionByName(b).select("query_id", "retriever", "id", "rank")
 
 

@@ -68,9 +68,10 @@ def parsed(spark):
     return review.parse_diff(spark.createDataFrame([(1, DIFF)], "diff_id int, text string"))
 
 
-@register("diff_parse", f"SELECT hunk::INT AS hunk_no, kind, old::INT AS old_line, new::INT AS new_line FROM ({values(DIFF_LINES)}) t(hunk, kind, old, new)")
+@register("diff_parse", f"SELECT hunk::INT AS hunk_no, kind, coalesce(old, -1)::INT AS old_line, coalesce(new, -1)::INT AS new_line FROM ({values(DIFF_LINES)}) t(hunk, kind, old, new)")
 def diff_parse(spark, d):
-    return parsed(spark).select("hunk_no", "kind", "old_line", "new_line")
+    side = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return parsed(spark).select("hunk_no", "kind", side("old_line"), side("new_line"))
 
 
 HUNKS = [(1, "src/ledger.py", 10, 16, 13, 2, 1), (2, "src/ledger.py", 49, 51, 51, 1, 0), (4, "new.md", 1, 2, 1, 2, 0), (5, "now.py", 3, 3, 3, 1, 2)]
