@@ -40,6 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k"
 ROWS_PER_BUCKET = 20_000
 ROUNDS = 3000
+#: Texts that are Python objects at a time.
+TEXTS_AT_ONCE = 256
 
 
 # ---------------------------------------------------------------- planning on a histogram
@@ -249,7 +252,9 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         with open(public_tokenizers.path(vocabulary + ".json"), encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            spec = f.read()
+        # the list alone, not the whole vocabulary once more
+        added, _ = json.JSONDecoder().raw_decode(spec, spec.index("[", spec.index('"added_tokens"')))
         self.special = {t["content"]: t["id"] for t in added}
         self.plain = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -271,25 +276,33 @@ def encoder(vocabulary: str) -> Encoder:
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, with_ids: bool) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32 (and ids)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text), CLOSING_ID], dtype="<u4")
-                raw, n = memoryview(ids.tobytes()), len(ids)
-                start, stop, piece = 0, n % capacity or capacity, 0
-                while start < n:
-                    row = (doc, piece, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]))
-                    rows.append((*row, ids[start:stop].astype("int32")) if with_ids else row)
-                    start, stop, piece = stop, stop + capacity, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield out.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+            for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(lo, TEXTS_AT_ONCE)
+                at, rows, kept = [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    ids = np.array([*encode(text), CLOSING_ID], dtype="<u4")
+                    raw, n = memoryview(ids.tobytes()), len(ids)
+                    start, stop, piece = 0, n % capacity or capacity, 0
+                    while start < n:
+                        at.append(i)
+                        rows.append((piece, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
+                        start, stop, piece = stop, stop + capacity, piece + 1
+                    if with_ids:
+                        kept.append(ids.astype(np.int32))
+                piece, start, length, crc = np.array(rows, np.int64).T
+                columns = [part.column("doc_id").take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(np.concatenate(kept))))
+                yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text).mapInPandas(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text).mapInArrow(run, schema)
 
 
 def pack(
