@@ -9,7 +9,7 @@ that comes before it, by document id, then by place in the document.
 2. Each class puts its rarest tokens, as many as a match must meet (prefix filter), into
    inverted lists.  Of two entries of a list, lengths, places in the lists (positional
    filter) and a 64-bit map of the tokens bound the similarity; the rest are candidates.
-3. Lists up to ``SHORT`` entries join with themselves.  In longer ones every entry first
+3. Lists of words with up to ``SHORT`` occurrences join with themselves.  In others every entry first
    meets one hub, the entry with the fewest rarer tokens; only lines that found no match
    there meet the rest of the list.
 4. For each line the likeliest candidate is verified on whole token sets, then, where that
@@ -47,8 +47,8 @@ from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, sl
 PERCENT = 80
 SLOTS = 1 << 23
 SHORT = 512
-#: Tokens of long lists are broadcast up to so many, and joined by shuffle beyond.
-BROADCAST_TOKENS = 1_000_000
+#: SHORT words or more, on the scale of ``word_counts``.
+LONG = int(8 * np.log2(1 + SHORT))
 SALTS = 8
 BUFFER = 1 << 20
 LOWEST = -(1 << 63)
@@ -145,16 +145,17 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
 
 
-LINES = "sa long, sb long, doc long, line int, n int, own int, bits long, tokens array<int>"
+LINES = "sa long, sb long, doc long, line int, n int, own int, cold int, bits long, tokens array<int>"
 
 
 def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     """One row a line with tokens: digest of its set, document, place, size, and the entries of its prefix.
 
-    ``own`` counts the rarest tokens that no other line has; they need no entry.
+    ``own`` counts the rarest tokens that no other line has; they need no entry.  ``cold`` counts the
+    entries, the first ones, whose lists are surely short: their words are too few.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
-    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("bits", pa.int64()), ("tokens", pa.list_(pa.int32()))]
+    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("cold", pa.int32()), ("bits", pa.int64()), ("tokens", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,7 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                 place = np.arange(len(h)) - np.repeat(starts, n)
                 entry = (place < np.repeat(keep, n)) & ~single
                 many = np.add.reduceat(entry, starts)
+                cold = np.add.reduceat(entry & (rare[_slot(h)] < LONG), starts)
                 doc = np.searchsorted(np.cumsum(lines), line, side="right")
                 begin = np.cumsum(lines) - lines
                 yield pa.RecordBatch.from_arrays(
@@ -182,6 +184,7 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                         pa.array((line - begin[doc]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         pa.array(own.astype(np.int32)),
+                        pa.array(cold.astype(np.int32)),
                         pa.array(np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array((h[entry] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
                     ],
@@ -225,13 +228,8 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
     return met.select(*cols, _apart(a, b).alias("apart"))
 
 
-def _sized(tokens: DataFrame) -> DataFrame:
-    return F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens
-
-
-def _short_pairs(entries: DataFrame, long_tokens: DataFrame, percent: int) -> DataFrame:
-    rows = entries.join(_sized(long_tokens), "token", "left_anti")
-    met = rows.alias("a").join(rows.alias("b"), "token")
+def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    met = entries.alias("a").join(entries.alias("b"), "token")
     return _pairs(met.filter(_before("a", "b") & _may_match("a", "b", percent)), "a", "b")
 
 
@@ -332,13 +330,15 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of rows (doc, text): doc, line of each line that goes, and the earlier line (to_doc, to_line) that it matches."""
     rows = stored(line_rows(docs, word_counts(docs), percent))
     first = F.min(F.struct("doc", "line"))
-    classes = rows.groupBy("sa", "sb", "n").agg(first.alias("f"), F.first(F.struct("own", "bits", "tokens")).alias("t"))
-    classes = stored(classes.select("sa", "sb", "n", "f.doc", "f.line", "t.own", "t.bits", "t.tokens"))
-    entries = classes.select("doc", "line", "n", "bits", F.posexplode("tokens").alias("at", "token"), "own")
-    entries = entries.select("token", "doc", "line", "n", (F.col("at") + F.col("own")).alias("at"), "bits")
-    long_tokens = cut(entries.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > SHORT).select("token"))
-    short = _short_pairs(entries, long_tokens, percent)
-    hot = cut(entries.join(_sized(long_tokens), "token", "left_semi"))
+    classes = rows.groupBy("sa", "sb", "n").agg(first.alias("f"), F.first(F.struct("own", "cold", "bits", "tokens")).alias("t"))
+    classes = stored(classes.select("sa", "sb", "n", "f.doc", "f.line", "t.own", "t.cold", "t.bits", "t.tokens"))
+
+    def entries(tokens: Column, before: Column) -> DataFrame:
+        some = classes.select("doc", "line", "n", "bits", F.posexplode(tokens).alias("at", "token"), before.alias("before"))
+        return some.select("token", "doc", "line", "n", (F.col("at") + F.col("before")).alias("at"), "bits")
+
+    short = _short_pairs(entries(F.slice("tokens", F.lit(1), F.col("cold")), F.col("own")), percent)
+    hot = cut(entries(F.slice("tokens", F.col("cold") + 1, F.size("tokens")), F.col("own") + F.col("cold")))
     found = _matches(docs, short.union(_star_pairs(hot, percent)), percent)
     rest = cut(_rest_pairs(hot, found, percent))
     if not rest.isEmpty():

@@ -48,7 +48,7 @@ def near_lines(seed=3, docs=60):
 
 @pytest.mark.parametrize("short", [64, 3])
 def test_removed_lines_equal_brute_force(spark, monkeypatch, short):
-    monkeypatch.setattr(ld, "SHORT", short)
+    monkeypatch.setattr(ld, "LONG", int(8 * np.log2(1 + short)))
     rows = messy_rows(n=50) + near_lines()
     found = ld.dedup_lines(frame(spark, rows)).collect()
     texts = {r[0]: (r[1] or "").split("\n") for r in rows}
