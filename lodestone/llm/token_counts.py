@@ -72,24 +72,26 @@ class Merger:
         at[-1] = self.last[raw[-1]]
         if n == 1:
             return 1
-        heap = [(pairs[p] >> 20 << 32 | i, p) for i in range(n - 1) if (p := at[i] << 20 | at[i + 1]) in pairs]
+        # rank and place, and the symbol that the merge makes
+        heap = [(new >> 20 << 32 | i, new & 0xFFFFF) for i in range(n - 1) if (new := pairs.get(at[i] << 20 | at[i + 1])) is not None]
         heapq.heapify(heap)
         after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
         while heap:
-            rank_at, pair = heapq.heappop(heap)
+            rank_at, made = heapq.heappop(heap)
             i = rank_at & 0xFFFFFFFF
             j = after[i]
-            if j >= n or at[i] < 0 or (at[i] << 20 | at[j]) != pair:
-                continue  # one of the two has been merged meanwhile
-            at[i], at[j] = pairs[pair] & 0xFFFFF, -1
+            # an entry counts as long as its place still merges into the same symbol, whatever the two parts
+            if j >= n or at[i] < 0 or (now := pairs.get(at[i] << 20 | at[j])) is None or now & 0xFFFFF != made:
+                continue
+            at[i], at[j] = made, -1
             after[i] = k = after[j]
             left -= 1
             if k < n:
                 before[k] = i
-                if (new := pairs.get(p := at[i] << 20 | at[k])) is not None:
-                    heapq.heappush(heap, (new >> 20 << 32 | i, p))
-            if (h := before[i]) >= 0 and (new := pairs.get(p := at[h] << 20 | at[i])) is not None:
-                heapq.heappush(heap, (new >> 20 << 32 | h, p))
+                if (new := pairs.get(made << 20 | at[k])) is not None:
+                    heapq.heappush(heap, (new >> 20 << 32 | i, new & 0xFFFFF))
+            if (h := before[i]) >= 0 and (new := pairs.get(at[h] << 20 | made)) is not None:
+                heapq.heappush(heap, (new >> 20 << 32 | h, new & 0xFFFFF))
         return left
 
     def __missing__(self, word: str) -> int:
