@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, salted_join, slot_blocks, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, table
 
 K = 64
 LOSS = 1e-9
@@ -116,6 +116,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketch.append(s[:K].view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "sketch": sketch})
+        release()
 
     return _ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, digest binary, sketch array<long>")
 
@@ -154,6 +155,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(x, size) for x in batch["text"]]
             sketch = [s[:K].view(np.int64) for s in sets]
             yield pd.DataFrame({"node": batch["doc_id"], "set": [s.tobytes() for s in sets], "sketch": sketch})
+        release()
 
     return rows.mapInPandas(run, "node long, set binary, sketch array<long>")
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release() -> None:
+    """Gives back what Arrow holds unused; a Python worker outlives its task and counts on the executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names built on ``names`` that do not clash with those of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

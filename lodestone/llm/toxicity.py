@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.language import remainder
-from lodestone.llm.shared import cut, fresh, table
+from lodestone.llm.shared import cut, fresh, release, table
 
 TRAIN_DOCS = 20_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 MIN_TOXIC_DOCS = 4
 Z = 4.0
 E_VALUE = 0.05
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -267,6 +267,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> tu
                 scores.append(own.score(best, total))
                 passages.append(_spans(text, found))
             yield pd.DataFrame({"score": scores, "passages": passages})
+        own.cache.clear()  # the worker process lives on
+        release()
 
     (name,) = fresh(docs, "toxicity")
     kind = "score double, passages array<struct<start:int,end:int,score:double,e_value:double>>"
