@@ -9,11 +9,11 @@ that comes before it, by document id, then by place in the document.
 2. Each class puts its rarest tokens, as many as a match must meet (prefix filter), into
    inverted lists.  Of two entries of a list, lengths, places in the lists (positional
    filter) and a 64-bit map of the tokens bound the similarity; the rest are candidates.
-3. Lists of words with up to ``SHORT`` occurrences join with themselves.  In others every entry first
-   meets one hub, the entry with the fewest rarer tokens; only lines that found no match
-   there meet the rest of the list.
-4. For each line the likeliest candidate is verified on whole token sets, then, where that
-   fails, all others.
+3. Lists join with themselves, the larger set of a pair by its whole prefix, the smaller one by
+   the shorter prefix that it needs toward larger sets.  Lists of words with more than ``SHORT``
+   occurrences are dealt over ``SALTS`` tasks.
+4. All candidates are verified on whole token sets.  The links are all pairs of classes that
+   match; each line has its class and its class's number of links.
 
 Defined results
 ---------------
@@ -21,13 +21,18 @@ Defined results
 * Lines without tokens are never removed.
 * Equal lines match; of equal sets the first line stays.  A line matching only a later line
   stays.  Whether the earlier line is itself removed makes no difference.
+* A class is named by its first line.  A removed line is reported with its class's first line
+  or, if it is that itself, with the earliest one that it matches.
+* Links are counted between classes, toward earlier and later ones.  Lines alone in their
+  class and without a link are not listed.
 * Ids are taken as unique; a null id comes first.  Repeated rows count as one document and
   share their result.
 * An empty table gives an empty result.  Tokens are told apart by 64-bit hashes.
 
 Scale: texts are not shuffled but where cleaned texts are asked for.  Lines shuffle as some
-100 bytes, their entries as 50; no list is expanded into all its pairs, and a list's hot
-part is dealt over ``SALTS`` tasks.  Broadcast are tables of fixed size: word counts (8 MB)
+100 bytes, their entries as 50; the copies of a line are one class, and token sets move once
+a candidate.  Links, and with them candidates, grow with the square of the number of
+different lines that match each other.  Broadcast are tables of fixed size: word counts (8 MB)
 and a bitmap of the lines to verify (64 MB at most; false hits only cost work).
 """
 
@@ -215,46 +220,40 @@ def _before(a: str, b: str) -> Column:
     return (db < da) | ((db == da) & (F.col(f"{b}.line") < F.col(f"{a}.line")))
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-
-
 PAIR = ("doc", "line", "to_doc", "to_line")
 
 
-def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
-    """Candidates, the later line first, each once, with the distance of their token maps."""
-    cols = [F.col(f"{a}.doc").alias("doc"), F.col(f"{a}.line").alias("line"), F.col(f"{b}.doc").alias("to_doc"), F.col(f"{b}.line").alias("to_line")]
-    return met.select(*cols, _apart(a, b).alias("apart"))
-
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Candidates among entries a and b of the same lists, the later line first.
 
-def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    met = entries.alias("a").join(entries.alias("b"), "token")
-    return _pairs(met.filter(_before("a", "b") & _may_match("a", "b", percent)), "a", "b")
+    Entry a's set is the larger one, of equal ones the later line's.  Toward a larger set, a match
+    needs a token among fewer of b's rarest than toward a smaller one.
+    """
+    na, nb = F.col("a.n"), F.col("b.n")
+    least = F.expr(f"(2 * {percent} * b.n + {99 + percent}) div {100 + percent}")
+    ordered = (nb < na) | ((nb == na) & _before("a", "b"))
+    met = met.filter(ordered & (F.col("b.at") <= nb - least) & _may_match("a", "b", percent))
+    a, b = (F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.line").alias("line")) for x in "ab")
+    met = met.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
+    return met.select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line"))
 
 
-def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each entry with its list's hub, the earlier line as the match."""
-    hubs = entries.groupBy("token").agg(F.min(F.struct("at", "doc", "line", "n", "bits")).alias("h")).select("token", "h.*")
-    met = entries.alias("a").join(hubs.alias("b"), "token").filter(_may_match("a", "b", percent))
-    later, earlier = met.filter(_before("a", "b")), met.filter(_before("b", "a"))
-    return _pairs(later, "a", "b").union(_pairs(earlier, "b", "a"))
+def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    return _pairs(entries.alias("a").join(entries.alias("b"), "token"), percent)
 
 
-def _rest_pairs(entries: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
-    """Lines without a match so far with all earlier lines of their long lists."""
-    left = entries.join(matched.select("doc", "line"), ["doc", "line"], "left_anti")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = entries.withColumn("salt", F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS)).cast("int"))
-    met = left.alias("a").join(right.alias("b"), ["token", "salt"])
-    return _pairs(met.filter(_before("a", "b") & _may_match("a", "b", percent)), "a", "b")
+def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """As ``_short_pairs``, each list's larger sets dealt over ``SALTS`` tasks."""
+    left = entries.withColumn("salt", F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS)).cast("int"))
+    right = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return _pairs(left.alias("a").join(right.alias("b"), ["token", "salt"]), percent)
 
 
 # ---------------------------------------------------------------- verification
 
 
 def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc, line, tokens (sorted hashes, as bytes) of the lines that a bitmap of the pairs' lines holds."""
+    """doc, line, tokens (hashes) of the lines that a bitmap of the pairs' lines holds."""
     lines = pairs.select("doc", "line").union(pairs.select("to_doc", "to_line")).distinct()
     lines = cut(lines)
     bits = filter_bits(lines.count())
@@ -273,7 +272,7 @@ def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     for r in slots.mapInPandas(mark, "page int, raw binary").toLocalIterator():
         bitmap[r["page"] * 8192 : (r["page"] + 1) * 8192] |= np.frombuffer(r["raw"], np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
-    fields = [("doc", pa.int64()), ("line", pa.int32()), ("tokens", pa.binary())]
+    fields = [("doc", pa.int64()), ("line", pa.int32()), ("tokens", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
@@ -289,66 +288,68 @@ def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 hashes, line = _hashed(buffer)
                 chosen = wanted[line]
                 line, starts, h = sorted_sets(hashes[chosen], line[chosen], None)
-                ends = np.append(starts, len(h))[1:]
-                raw = [h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + doc[line]]), pa.array(number[line].astype(np.int32)), pa.array(raw, pa.binary())], schema=pa.schema(fields)
-                )
+                sets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc[line]]), pa.array(number[line].astype(np.int32)), sets], schema=pa.schema(fields))
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, line int, tokens binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, line int, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * both >= percent * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
-
+    sets = sets.dropDuplicates(["doc", "line"])  # repeated rows have theirs again
     first = sets.select("doc", "line", F.col("tokens").alias("x"))
     second = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("y"))
-    return pairs.join(first, ["doc", "line"]).join(second, ["to_doc", "to_line"]).filter(exact("x", "y")).select(*PAIR)
+    both = F.size(F.array_intersect("x", "y"))
+    exact = 100 * both >= percent * (F.size("x") + F.size("y") - both)
+    return pairs.join(first, ["doc", "line"]).join(second, ["to_doc", "to_line"]).filter(exact).select(*PAIR)
 
 
-def _matches(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """One verified match of each later line that has any: the likeliest candidate first, then all others."""
-    pairs = cut(pairs.groupBy(*PAIR).agg(F.min("apart").alias("apart")))
-    sets = cut(_line_sets(docs, pairs))
-    best = pairs.groupBy("doc", "line").agg(F.min(F.struct("apart", "to_doc", "to_line")).alias("b"))
-    best = best.select("doc", "line", "b.to_doc", "b.to_line")
-    found = cut(_verified(best, sets, percent))
-    rest = pairs.join(found.select("doc", "line"), ["doc", "line"], "left_anti")
-    rest = rest.join(best, list(PAIR), "left_anti").select(*PAIR)
-    more = _verified(rest, sets, percent).groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("b"))
-    return cut(found.unionByName(more.select("doc", "line", "b.to_doc", "b.to_line")))
+def line_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc, text): the lines with tokens (sa, sb, n, doc, line), and the classes of those with equal sets.
 
-
-def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of rows (doc, text): doc, line of each line that goes, and the earlier line (to_doc, to_line) that it matches."""
+    A class has sa, sb, n, its first line (doc, line), its entries, and ``more``: it has other lines.
+    """
     rows = stored(line_rows(docs, word_counts(docs), percent))
-    first = F.min(F.struct("doc", "line"))
-    classes = rows.groupBy("sa", "sb", "n").agg(first.alias("f"), F.first(F.struct("own", "cold", "bits", "tokens")).alias("t"))
-    classes = stored(classes.select("sa", "sb", "n", "f.doc", "f.line", "t.own", "t.cold", "t.bits", "t.tokens"))
+    place = F.struct("doc", "line")
+    found = rows.groupBy("sa", "sb", "n").agg(
+        F.min(place).alias("f"), (F.min(place) != F.max(place)).alias("more"), F.first(F.struct("own", "cold", "bits", "tokens")).alias("t")
+    )
+    return rows.select("sa", "sb", "n", "doc", "line"), stored(found.select("sa", "sb", "n", "more", "f.doc", "f.line", "t.own", "t.cold", "t.bits", "t.tokens"))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of classes that match, each once: the later class (doc, line), the earlier one (to_doc, to_line)."""
 
     def entries(tokens: Column, before: Column) -> DataFrame:
         some = classes.select("doc", "line", "n", "bits", F.posexplode(tokens).alias("at", "token"), before.alias("before"))
         return some.select("token", "doc", "line", "n", (F.col("at") + F.col("before")).alias("at"), "bits")
 
-    short = _short_pairs(entries(F.slice("tokens", F.lit(1), F.col("cold")), F.col("own")), percent)
-    hot = cut(entries(F.slice("tokens", F.col("cold") + 1, F.size("tokens")), F.col("own") + F.col("cold")))
-    found = _matches(docs, short.union(_star_pairs(hot, percent)), percent)
-    rest = cut(_rest_pairs(hot, found, percent))
-    if not rest.isEmpty():
-        found = found.unionByName(_matches(docs, rest, percent))
-    # lines of a class other than its first match that one
-    heads = classes.select("sa", "sb", "n", F.col("doc").alias("to_doc"), F.col("line").alias("to_line"))
+    short = entries(F.slice("tokens", F.lit(1), F.col("cold")), F.col("own"))
+    hot = entries(F.slice("tokens", F.col("cold") + 1, F.size("tokens")), F.col("own") + F.col("cold"))
+    pairs = stored(_short_pairs(short, percent).union(_long_pairs(hot, percent)).distinct())
+    return stored(_verified(pairs, _line_sets(docs, pairs), percent))
+
+
+def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of rows (doc, text): doc, line of each line with equals or links, its class, its class's links, its match.
+
+    The class is its first line (class_doc, class_line), ``n_links`` the number of other classes that it
+    matches.  The match (to_doc, to_line) is an earlier line; it is null where the line stays.
+    """
+    rows, classes = line_classes(docs, percent)
+    links = class_links(docs, classes, percent)
+    other = F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))
+    ends = links.select("doc", "line", other.alias("to")).union(links.select("to_doc", "to_line", F.lit(None).cast("struct<doc:long,line:int>")))
+    ends = ends.groupBy("doc", "line").agg(F.count("*").alias("n_links"), F.min("to").alias("to"))
     key = F.struct("sa", "sb", "n").alias("key")
-    copies = salted_join(rows.select("doc", "line", key), heads.select(key, "to_doc", "to_line"), "key", "doc")
-    copies = copies.filter((F.col("doc") != F.col("to_doc")) | (F.col("line") != F.col("to_line")))
-    return copies.select(*PAIR).unionByName(found)
+    heads = classes.filter("more").select(key, "doc", "line").join(ends, ["doc", "line"], "full")
+    heads = heads.select("key", F.struct("doc", "line").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "to")
+    alone = heads.filter("key IS NULL").select("class.doc", "class.line", "class", "n_links", "to")
+    equal = salted_join(rows.select("doc", "line", key), heads.filter("key IS NOT NULL"), "key", "doc").drop("key")
+    equal = equal.withColumn("to", F.when(F.struct("doc", "line") == F.col("class"), F.col("to")).otherwise(F.col("class")))
+    found = alone.unionByName(equal)
+    return found.select(
+        "doc", "line", F.col("class.doc").alias("class_doc"), F.col("class.line").alias("class_line"), "n_links", F.col("to.doc").alias("to_doc"), F.col("to.line").alias("to_line")
+    )
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,17 +357,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_lines, n_removed, removed: array of (line, match_doc, match_line), lines from 0."""
+    """One row a document: doc_id, n_lines, n_removed, and, lines from 0,
+
+    removed: array of (line, match_doc, match_line),
+    linked: array of (line, class_doc, class_line, n_links) of each line with equals or links, removed or not.
+    """
     keyed = _keyed(docs, id_col, text_col)
-    gone = line_matches(keyed, percent).distinct()
     null = lambda c: F.nullif(F.col(c), F.lit(LOWEST))
-    one = F.struct("line", null("to_doc").alias("match_doc"), F.col("to_line").alias("match_line"))
-    gone = gone.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("removed"))
+    one = F.struct(
+        "line",
+        null("class_doc").alias("class_doc"),
+        "class_line",
+        "n_links",
+        null("to_doc").alias("match_doc"),
+        F.col("to_line").alias("match_line"),
+    )
+    lines = line_matches(keyed, percent).groupBy("doc").agg(F.array_sort(F.collect_set(one)).alias("lines"))
     n = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    found = keyed.select("doc", n.alias("n_lines")).join(gone, "doc", "left")
-    empty = F.array().cast("array<struct<line:int,match_doc:bigint,match_line:int>>")
-    removed = F.coalesce("removed", empty)
-    return found.select(null("doc").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    found = keyed.select("doc", n.alias("n_lines")).join(lines, "doc", "left")
+    picked = lambda x, *names: F.struct(*[x[c].alias(c) for c in names])
+    gone = F.transform(F.filter("lines", lambda x: x["match_line"].isNotNull()), lambda x: picked(x, "line", "match_doc", "match_line"))
+    linked = F.transform("lines", lambda x: picked(x, "line", "class_doc", "class_line", "n_links"))
+    removed = F.coalesce(gone, F.array().cast("array<struct<line:int,match_doc:bigint,match_line:int>>"))
+    linked = F.coalesce(linked, F.array().cast("array<struct<line:int,class_doc:bigint,class_line:int,n_links:bigint>>"))
+    return found.select(null("doc").alias("doc_id"), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), linked.alias("linked"))
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

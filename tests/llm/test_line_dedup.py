@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,6 +64,44 @@ def test_removed_lines_equal_brute_force(spark, monkeypatch, short):
             assert 100 * len(a & b) >= 80 * len(a | b)
 
 
+def brute_links(rows, percent=80):
+    """(class, number of links) of each line whose class has another line or a link."""
+    first, own = {}, {}
+    for r in sorted(rows):
+        for i, line in enumerate((r[1] or "").split("\n")):
+            if s := frozenset(tokens(line)):
+                own[r[0], i] = first.setdefault(s, (r[0], i))
+    sets = {place: s for s, place in first.items()}
+    many = {p: sum(p != q and 100 * len(s & t) >= percent * len(s | t) for q, t in sets.items()) for p, s in sets.items()}
+    size = Counter(own.values())
+    return {p: (*c, many[c]) for p, c in own.items() if size[c] > 1 or many[c]}
+
+
+def linked(found):
+    return {(r["doc_id"], x["line"]): (x["class_doc"], x["class_line"], x["n_links"]) for r in found.collect() for x in r["linked"]}
+
+
+def test_all_links_of_three_lines(spark):
+    w = [f"w{i}" for i in range(20)]
+    a, b, c = (" ".join([*w, *more]) for more in (["p"], ["q"], ["r"]))
+    found = linked(ld.dedup_lines(frame(spark, [(i, t, *[None] * 8) for i, t in enumerate((a, b, c, a, "alone"))])))
+    assert found == {(0, 0): (0, 0, 2), (1, 0): (1, 0, 2), (2, 0): (2, 0, 2), (3, 0): (0, 0, 2)}
+
+
+def test_repeated_rows_count_as_one(spark):
+    rows = [(1, "a b c d e f g h i one", *[None] * 8)] + [(2, "a b c d e f g h i two", *[None] * 8)] * 3
+    assert linked(ld.dedup_lines(frame(spark, rows))) == {(1, 0): (1, 0, 1), (2, 0): (2, 0, 1)}
+
+
+@pytest.mark.parametrize("short", [64, 3])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(ld, "LONG", int(8 * np.log2(1 + short)))
+    rows = messy_rows(n=50) + near_lines()
+    want = brute_links(rows)
+    assert max(n for *_, n in want.values()) > 2
+    assert linked(ld.dedup_lines(frame(spark, rows))) == want
+
+
 def test_texts_keep_first_lines(spark):
     rows = [(1, "alpha beta gamma\n\nunique one here", *[None] * 8), (2, "ALPHA beta gamma\nnew line\n", *[None] * 8), (3, None, *[None] * 8)]
     docs = frame(spark, rows)
