@@ -14,7 +14,8 @@ Defined results
 * Null text has size 0; a source whose documents all have size 0 has target 0.
 * A null source is a source of its own, last in the order of weights.
 * Equal rows have the same place in the order, next to each other, and are taken by it.
-* Only the last document taken of a source may be cut: its first words are taken.
+* Only the last document taken of a source may be cut: its text up to the end of the last
+  word taken, white space as it stands.  A document without a word is never taken.
 * An empty table gives an empty result.  Same rows and seed, same mix.
 
 Scale: texts are not shuffled by ``mix_plan``; prefix sums have two levels, (source, bucket) on the
@@ -169,8 +170,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: the columns of ``docs``, one row each time a document is taken.
 
     Rows are dealt to the output shards as the tree says and lie in each shard in its local
-    random order.  Where only the first words are taken, they are joined by single spaces
-    and a column ``n_chars`` is set to the new length.
+    random order.  Where only the first words are taken, the text is cut at the end of
+    the last of them and a column ``n_chars`` is set to the new length.
     """
     (size,) = fresh(docs, "size")
     rows, names = mix_plan(docs.withColumn(size, word_count(F.col(f"`{text_col}`"))), size, id_col, source_col, shards, seed)
@@ -178,7 +179,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn(one, F.explode(names["draws"]))
     text, words = F.col(f"`{text_col}`"), F.col(f"{one}.words").cast("int")
     cutting = words < F.col(size)
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(1))), " ")
+    pieces = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))  # each word with the space before it
+    first = F.array_join(F.slice(pieces, F.lit(1), F.greatest(words, F.lit(1))), "")
     rows = rows.withColumn(text_col, F.when(cutting, first).otherwise(text))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -64,6 +64,13 @@ def test_mix_takes_what_the_plan_says(spark):
     assert {k: v for k, v in plan.items() if v} == dict(words)
 
 
+def test_cut_text_keeps_its_white_space(spark):
+    text = "\n one\ttwo\n\n  three " * 20
+    mixed = mixing.mix(frame(spark, [(i, text, "en", f"s{i}", len(text), *[None] * 5) for i in range(3)])).collect()
+    assert any(r["text"] != text for r in mixed)
+    assert all(text.startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in mixed)
+
+
 def test_one_hot_source_and_empty(spark):
     rows = [(i, "w " * 10, "en", "only", 20, *[None] * 5) for i in range(50)]
     docs = frame(spark, rows).withColumn("w", mixing.word_count(F.col("text")))
