@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
 
-ROUNDS = 60
 LINKS_PER_TASK = 100_000
 
 
@@ -33,13 +32,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is its least node.
 
     Each round rewires links toward the least neighbour; the number of rounds grows with
-    the logarithm of the graph.  Lineage is cut every round.  Rounds only ever have about as
+    the logarithm of the graph, and they go on until one changes nothing.  Lineage is cut every round.  Rounds only ever have about as
     many links as there are, so tasks are as many as those fill.
     """
     now = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     tasks = -(-max(1, now.count()) // LINKS_PER_TASK)
     now, mark = now.coalesce(tasks), None
-    for _ in range(ROUNDS):
+    while True:
         now = cut(_small_star(_large_star(now)).coalesce(tasks))
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:

@@ -101,3 +101,10 @@ def test_sketch_estimate_never_misses_equal_sets():
     for sets in groups.values():
         for s in sets:
             assert nd.may_be_linked(s[: nd.K], s[: nd.K], nd.overlap_floor(nd.K, 85), 85)
+
+
+def test_components_go_on_until_stable(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.components.ROUNDS", 1, raising=False)
+    order = random.Random(2).sample(range(64), 64)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(64)}
