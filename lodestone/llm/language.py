@@ -19,8 +19,8 @@ Defined results
 * Repeated rows each get a row; an empty table gives an empty result.
 
 Bounds: the filter is fitted on at most about ``TRAIN_DOCS`` texts of each language, picked
-by a hash of the id; it has ``SLOTS`` slots of as many bits as languages (8 to 64), 8 MB at
-most, and is the only thing broadcast.  Prediction is one scan without a shuffle.
+by a hash of the id; it has ``SLOTS`` slots of as many bits as languages (8 to 64, or a page of 64
+for every 64 of them), 8 MB a page, and is the only thing broadcast.  Prediction is one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SLOTS = 1 << 20
 HASHES = 3
 TRAIN_DOCS = 4_000
 MIN_SHARE = 0.01
+#: Languages that the bits of one mask hold.
+PAGE = 64
 UNDETERMINED = "und"
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -81,19 +83,23 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """The bit-sliced filter of all languages."""
+    """The bit-sliced filter of all languages: one mask a slot, or a row of 64-bit masks beyond 64 languages."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, most: int):
         self.languages, self.masks, self.most = languages, masks, most
-        fill = [float(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).mean()) for i in range(len(languages))]
+        fill = [float(self.bit(masks, i).mean()) for i in range(len(languages))]
         self.false_positives = np.array(fill) ** HASHES
 
+    @staticmethod
+    def bit(masks: np.ndarray, i: int) -> np.ndarray:
+        page = masks if masks.ndim == 1 else masks[:, i // PAGE]
+        return (page >> page.dtype.type(i % PAGE)) & page.dtype.type(1)
+
     def shares(self, hashes: np.ndarray) -> np.ndarray:
         """Of the n-grams, the corrected share in each language's filter."""
         a, b, c = slots(hashes)
         found = self.masks[a] & self.masks[b] & self.masks[c]
-        one = found.dtype.type(1)
-        hits = np.array([np.count_nonzero((found >> found.dtype.type(i)) & one) for i in range(len(self.languages))])
+        hits = np.array([np.count_nonzero(self.bit(found, i)) for i in range(len(self.languages))])
         fp = self.false_positives
         return np.clip((hits / len(hashes) - fp) / np.maximum(1e-9, 1 - fp), 0, 1)
 
@@ -121,8 +127,6 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("a slot has 64 bits: at most 64 languages")
     if not languages:
         return Filters([], np.zeros(SLOTS, np.uint8), 0)
     share: Column = F.lit(0.0)
@@ -152,12 +156,13 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
         return pd.Series(list(np.column_stack(slots(gram.to_numpy(np.int64).view(np.uint64))).astype("int32")))
 
     taken = sums.filter((F.col("gram") != 0) & (F.col("n") >= least)).select("lang", F.explode(slots_of("gram")).alias("slot"))
-    by_slot = taken.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, lang)")).alias("mask"))
-    pages = by_slot.groupBy(F.expr(f"slot div {SLOTS // 64}")).agg(F.collect_list("slot").alias("slots"), F.collect_list("mask").alias("masks"))
-    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-    masks = np.zeros(SLOTS, width)
-    for page in pages.toLocalIterator():  # 64 pages of SLOTS / 64 slots at most
-        masks[np.array(page["slots"])] = np.array(page["masks"], np.int64).view(np.uint64).astype(width)
+    by_slot = taken.groupBy("slot", F.expr(f"lang div {PAGE}").alias("page")).agg(F.bit_or(F.expr(f"shiftleft(1L, lang % {PAGE})")).alias("mask"))
+    pages = by_slot.groupBy("page", F.expr(f"slot div {SLOTS // 64}")).agg(F.collect_list("slot").alias("slots"), F.collect_list("mask").alias("masks"))
+    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(PAGE, len(languages)))
+    masks = np.zeros((SLOTS, -(-len(languages) // PAGE)), width)
+    for page in pages.toLocalIterator():  # for every 64 languages, 64 pages of SLOTS / 64 slots at most
+        masks[np.array(page["slots"]), page["page"]] = np.array(page["masks"], np.int64).view(np.uint64).astype(width)
+    masks = masks[:, 0] if len(languages) <= PAGE else masks
     return Filters(languages, masks, index[max(sorted(counts), key=counts.get)])
 
 

@@ -72,3 +72,11 @@ def test_ngrams_stay_inside_words():
                 brute.add(g)
     hashes, _ = language.ngrams("Ab, cde!")
     assert len(np.unique(hashes)) == len(brute)
+
+
+def test_more_than_64_languages(spark):
+    own = [chr(0x4E00 + 8 * i) + chr(0x4E01 + 8 * i) + chr(0x4E02 + 8 * i) for i in range(70)]
+    rows = [(100 * i + j, f"{w}{w} {w}", f"l{i:02}", "s", 10, *[None] * 5) for i, w in enumerate(own) for j in range(2)]
+    filters = language.fit(frame(spark, rows), "doc_id", "text", "lang")
+    found = language.identify(frame(spark, rows), filters).collect()
+    assert len(found) == 140 and all(r["lang_pred"] == f"l{r['doc_id'] // 100:02}" for r in found)
