@@ -7,13 +7,15 @@ that comes before it, by document id, then by place in the document.
 1. Words are counted over all documents in a table of fixed size, which orders tokens by
    rarity.  Lines with equal sets form a class, which stands for its first line.
 2. Each class puts its rarest tokens, as many as a match must meet (prefix filter), into
-   inverted lists.  Of two entries of a list, lengths, places in the lists (positional
-   filter) and a 64-bit map of the tokens bound the similarity; the rest are candidates.
-3. Lists join with themselves, the larger set of a pair by its whole prefix, the smaller one by
-   the shorter prefix that it needs toward larger sets.  Lists of words with more than ``SHORT``
-   occurrences are dealt over ``SALTS`` tasks.
-4. All candidates are verified on whole token sets.  The links are all pairs of classes that
-   match; each line has its class and its class's number of links.
+   inverted lists.  A word with more than ``SHORT`` occurrences makes no list by itself: two
+   matching lines whose first common word is so frequent share a second word within one more
+   place, so that the lists are those of pairs of words.
+3. Within a list, sizes, places (positional filter) and a 64-bit map, of the parities of the
+   tokens on each bit, bound the similarity of each two entries.  Entries that no other one may match leave; no pair is
+   written down.
+4. The whole token sets of the entries left come to their lists and decide.  Two lines count
+   as linked only in the list of their first common word (or words), so each link counts once.
+   Each line gets its number of links and its earliest match.
 
 Defined results
 ---------------
@@ -30,10 +32,12 @@ Defined results
 * An empty table gives an empty result.  Tokens are told apart by 64-bit hashes.
 
 Scale: texts are not shuffled but where cleaned texts are asked for.  Lines shuffle as some
-100 bytes, their entries as 50; the copies of a line are one class, and token sets move once
-a candidate.  Links, and with them candidates, grow with the square of the number of
-different lines that match each other.  Broadcast are tables of fixed size: word counts (8 MB)
-and a bitmap of the lines to verify (64 MB at most; false hits only cost work).
+100 bytes, their entries as 50; the copies of a line are one class.  Token sets move once for
+each list in which a line may have a match, in ``ROUNDS`` rounds over parts of the lists, the
+shuffle files of a round being freed before the next.  A list longer than ``CELL`` is dealt as a grid of pairs of
+its parts, so that no task holds more than two parts of it.  Broadcast are tables of fixed
+size: word counts (8 MB) and a bitmap of the lines to verify (64 MB at most; false hits only
+cost work).
 """
 
 from __future__ import annotations
@@ -47,14 +51,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, merged_slots, salted_join, slot_blocks, stored, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, salted_join, slot_blocks, stored, sweep, table
 
 PERCENT = 80
 SLOTS = 1 << 23
 SHORT = 512
 #: SHORT words or more, on the scale of ``word_counts``.
 LONG = int(8 * np.log2(1 + SHORT))
-SALTS = 8
+#: Members of a list, or of a part of a longer one.
+CELL = 512
+#: Parts of the lists whose token sets move one after the other.
+ROUNDS = 2
+#: Rows of lists, and pairs of them, that are looked at together.
+TOGETHER, PAIRS = 100_000, 2_000_000
 BUFFER = 1 << 20
 LOWEST = -(1 << 63)
 WRAP = 1 << 40
@@ -150,19 +159,25 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
 
 
-LINES = "sa long, sb long, doc long, line int, n int, own int, cold int, bits long, tokens array<int>"
+LINES = "sa long, sb long, doc long, line int, n int, own int, bits long, cold array<int>, hot array<int>"
 
 
 def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """One row a line with tokens: digest of its set, document, place, size, and the entries of its prefix.
+    """One row a line with tokens: digest of its set, document, place, size, and the tokens of its prefix.
 
-    ``own`` counts the rarest tokens that no other line has; they need no entry.  ``cold`` counts the
-    entries, the first ones, whose lists are surely short: their words are too few.
+    ``own`` counts the rarest tokens that no other line has; they need no list.  After them come the
+    ``cold`` ones, whose lists are surely short, then the ``hot`` ones, whose words are too many; these
+    reach one place further, and are empty where the prefix itself has none.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
-    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("cold", pa.int32()), ("bits", pa.int64()), ("tokens", pa.list_(pa.int32()))]
+    long = LONG if percent > 50 else 256  # one common word may be enough for a match: no word counts as hot
+    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("bits", pa.int64()), ("cold", pa.list_(pa.int32())), ("hot", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
+    def lists(h: np.ndarray, entry: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+        ends = np.append(0, np.cumsum(np.add.reduceat(entry, starts, dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[entry] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = held.value
         for batch in batches:
@@ -172,13 +187,11 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                 if not len(line):
                     continue
                 n = np.diff(np.append(starts, len(h)))
-                single = rare[_slot(h)] == 8
-                own = np.add.reduceat(single, starts)
-                keep = n - (-(-percent * n // 100)) + 1
+                count = rare[_slot(h)]
                 place = np.arange(len(h)) - np.repeat(starts, n)
-                entry = (place < np.repeat(keep, n)) & ~single
-                many = np.add.reduceat(entry, starts)
-                cold = np.add.reduceat(entry & (rare[_slot(h)] < LONG), starts)
+                keep = np.repeat(n - (-(-percent * n // 100)) + 1, n)
+                many = (count >= long) & (place < keep)
+                inside = np.repeat(np.logical_or.reduceat(many, starts), n)
                 doc = np.searchsorted(np.cumsum(lines), line, side="right")
                 begin = np.cumsum(lines) - lines
                 yield pa.RecordBatch.from_arrays(
@@ -188,10 +201,10 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                         pa.array(ids[first + doc].astype(np.int64)),
                         pa.array((line - begin[doc]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
-                        pa.array(own.astype(np.int32)),
-                        pa.array(cold.astype(np.int32)),
-                        pa.array(np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array((h[entry] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))),
+                        pa.array(np.add.reduceat(count == 8, starts, dtype=np.int32)),
+                        pa.array(np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts).view(np.int64)),
+                        lists(h, (place < keep) & (count > 8) & (count < long), starts),
+                        lists(h, (place < keep + 1) & (count >= long) & inside, starts),
                     ],
                     schema=schema,
                 )
@@ -202,60 +215,120 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _may_match(a: str, b: str, percent: int) -> Column:
-    """The sizes, places and token maps of two entries allow a match."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    room = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & (room * (100 + percent) >= percent * (na + nb))
-        & (apart * (100 + percent) <= (100 - percent) * (na + nb))
-    )
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole lists, from rows that are sorted by ``key``."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            key = batch.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last or waiting[0].column("key")[0].as_py() != key[-1]:
+                yield pa.Table.from_batches([*waiting[:-1], batch.slice(0, last)])
+                waiting, rows = [batch.slice(last)], batch.num_rows - last
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
-def _before(a: str, b: str) -> Column:
-    """Entry b's line comes before entry a's."""
-    da, db = F.col(f"{a}.doc"), F.col(f"{b}.doc")
-    return (db < da) | ((db == da) & (F.col(f"{b}.line") < F.col(f"{a}.line")))
 
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
-PAIR = ("doc", "line", "to_doc", "to_line")
 
+def _meeting(key, n, at, bits, side, percent: int) -> np.ndarray:
+    """Of entries sorted by list, size, document and line: those that some other of the list may match.
 
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Candidates among entries a and b of the same lists, the later line first.
-
-    Entry a's set is the larger one, of equal ones the later line's.  Toward a larger set, a match
-    needs a token among fewer of b's rarest than toward a smaller one.
+    Of two entries the later one's set is the larger.  Toward it, a match needs a token among fewer of
+    the smaller set's rarest than toward smaller ones.
     """
-    na, nb = F.col("a.n"), F.col("b.n")
-    least = F.expr(f"(2 * {percent} * b.n + {99 + percent}) div {100 + percent}")
-    ordered = (nb < na) | ((nb == na) & _before("a", "b"))
-    met = met.filter(ordered & (F.col("b.at") <= nb - least) & _may_match("a", "b", percent))
-    a, b = (F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.line").alias("line")) for x in "ab")
-    met = met.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
-    return met.select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line"))
-
+    found = np.zeros(len(key), bool)
+    listed = np.cumsum(np.append(True, key[1:] != key[:-1])) * (int(n.max()) * 100 // percent + 2)
+    end = np.searchsorted(listed + n, listed + 100 * n // percent, side="right")
+    least = (2 * percent * n + 99 + percent) // (100 + percent)
+    many = np.where(at <= n - least, end - np.arange(1, len(n) + 1), 0)
+    room, upto = n - at, np.cumsum(many)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - many[lo] + PAIRS, side="right")))
+        some = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        both = n[i] + n[j]
+        ok = np.minimum(room[i], room[j]) * (100 + percent) >= percent * both
+        i, j, both = i[ok], j[ok], both[ok]
+        ok = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) * (100 + percent) <= (100 - percent) * both
+        if side is not None:
+            ok &= (side[i] < 0) | (side[i] != side[j])
+        found[i[ok]] = found[j[ok]] = True
+        lo = hi
+    return found
+
+
+MEMBERS = "key long, side int, doc long, line int, at int, upto int"
+
+
+def _members(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries that may have a match in their list: key, side, doc, line, and the places of the list's words."""
+    fields = [("key", pa.int64()), ("side", pa.int32()), ("doc", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("upto", pa.int32())]
+    dealt = "side" in entries.columns
 
-def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    return _pairs(entries.alias("a").join(entries.alias("b"), "token"), percent)
-
-
-def _long_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """As ``_short_pairs``, each list's larger sets dealt over ``SALTS`` tasks."""
-    left = entries.withColumn("salt", F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS)).cast("int"))
-    right = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return _pairs(left.alias("a").join(right.alias("b"), ["token", "salt"]), percent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            key, n, at = _column(t, "key"), _column(t, "n").astype(np.int64), _column(t, "at").astype(np.int64)
+            side = _column(t, "side") if dealt else None
+            found = np.flatnonzero(_meeting(key, n, at, _column(t, "bits").view(np.uint64), side, percent))
+            at = at[found].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[found]),
+                    pa.array(side[found] if dealt else np.full(len(found), -1, np.int32)),
+                    pa.array(_column(t, "doc")[found]),
+                    pa.array(_column(t, "line")[found]),
+                    pa.array(at),
+                    pa.array(_column(t, "upto")[found] if dealt else at),
+                ],
+                schema=pa.schema(fields),
+            )
+
+    return entries.repartition("key").sortWithinPartitions("key", "n", "doc", "line").mapInArrow(run, MEMBERS)
+
+
+def _cold_entries(classes: DataFrame) -> DataFrame:
+    some = classes.select("doc", "line", "n", "own", "bits", F.posexplode("cold").alias("i", "token"))
+    return some.select(F.col("token").cast("long").alias("key"), "doc", "line", "n", (F.col("own") + F.col("i")).alias("at"), "bits")
+
+
+def _hot_entries(classes: DataFrame, percent: int) -> DataFrame:
+    """Entries by pairs of hot words, of which the first one is in the prefix; long lists as cells of a grid.
+
+    A cell holds two parts of a list, told apart by ``side``, or one part, where ``side`` is -1.
+    """
+    before = F.col("own") + F.size("cold")
+    some = classes.filter(F.size("hot") > 1).select("doc", "line", "n", "bits", before.alias("before"), "hot", F.posexplode("hot").alias("i", "first"))
+    some = some.filter(F.col("before") + F.col("i") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
+    some = some.select("*", F.posexplode(F.expr("slice(hot, i + 2, size(hot))")).alias("k", "second"))
+    at = F.col("before") + F.col("i")
+    rows = some.select(F.xxhash64("first", "second").alias("key"), "doc", "line", "n", at.alias("at"), "bits", (at + F.col("k") + 1).alias("upto"))
+    rows = stored(rows)
+    parts = F.ceil(F.col("many") / CELL).cast("int")
+    longer = rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > CELL).select("key", parts.alias("parts"))
+    rows = rows.join(longer, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("parts") == 1, -1).when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cell = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select(cell.alias("key"), "doc", "line", "n", "at", "bits", "upto", side.alias("side"))
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc, line, tokens (hashes) of the lines that a bitmap of the pairs' lines holds."""
-    lines = pairs.select("doc", "line").union(pairs.select("to_doc", "to_line")).distinct()
-    lines = cut(lines)
+def _line_sets(docs: DataFrame, members: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """doc, line, tokens (hashes, rarest first) of the lines that a bitmap of the members' lines holds."""
+    lines = cut(members.select("doc", "line").distinct())
     bits = filter_bits(lines.count())
     slots = lines.select(F.pmod(F.pmod(F.col("doc"), F.lit(WRAP)) * 31 + F.col("line"), F.lit(bits)).alias("slot"))
 
@@ -271,11 +344,11 @@ def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     bitmap = np.zeros(bits // 8, np.uint8)
     for r in slots.mapInPandas(mark, "page int, raw binary").toLocalIterator():
         bitmap[r["page"] * 8192 : (r["page"] + 1) * 8192] |= np.frombuffer(r["raw"], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, rarity))
     fields = [("doc", pa.int64()), ("line", pa.int32()), ("tokens", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        bitmap, rare = held.value
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
             for first, lines, buffer in buffers(batch.column("text").to_pylist()):
@@ -287,46 +360,120 @@ def _line_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     continue
                 hashes, line = _hashed(buffer)
                 chosen = wanted[line]
-                line, starts, h = sorted_sets(hashes[chosen], line[chosen], None)
+                line, starts, h = sorted_sets(hashes[chosen], line[chosen], rare)
                 sets = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc[line]]), pa.array(number[line].astype(np.int32)), sets], schema=pa.schema(fields))
 
     return docs.select("doc", "text").mapInArrow(run, "doc long, line int, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    sets = sets.dropDuplicates(["doc", "line"])  # repeated rows have theirs again
-    first = sets.select("doc", "line", F.col("tokens").alias("x"))
-    second = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    exact = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return pairs.join(first, ["doc", "line"]).join(second, ["to_doc", "to_line"]).filter(exact).select(*PAIR)
+def _shared(tokens: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
+    """How many tokens each two members have in common."""
+    _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    some = count > 1
+    column = np.cumsum(some) - 1
+    keep = some[code]
+    code, owner = column[code[keep]], owner[keep]
+    both = np.zeros((members, members), np.float32)
+    width = int(some.sum())
+    for lo in range(0, width, 4096):
+        here = (code >= lo) & (code < lo + 4096)
+        part = np.zeros((members, min(4096, width - lo)), np.float32)
+        part[owner[here], code[here] - lo] = 1
+        both += part @ part.T
+    return both
+
+
+def _linked(values, starts, n, at, upto, side, percent: int) -> np.ndarray:
+    """Which members of a list are linked, and meet in this list first; member i has values[starts[i]:][:n[i]]."""
+    members = len(n)
+    owner = np.repeat(np.arange(members), n)
+    begin = np.cumsum(n) - n
+    place = np.arange(len(owner)) - begin[owner]
+    tokens = values[np.repeat(starts, n) + place]
+    both = _shared(tokens, owner, members)
+    ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(ok, False)
+    if not ok.any():
+        return ok
+    early = place < upto[owner]
+    ok &= _shared(tokens[early], owner[early], members) == (upto != at)
+    for where in (at, upto):
+        word = tokens[begin + where]
+        ok &= word[:, None] == word[None, :]
+    if side[0] >= 0:
+        ok &= side[:, None] != side[None, :]
+    return ok
+
+
+COUNTS = "doc long, line int, n_links long, to_doc long, to_line int"
+
+
+def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc, line, links counted in a list, and the earliest line before it that it is linked with there."""
+    fields = [("doc", pa.int64()), ("line", pa.int32()), ("n_links", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            key, doc, line, at, upto, side = (_column(t, c) for c in ("key", "doc", "line", "at", "upto", "side"))
+            lists = t.column("tokens").combine_chunks()
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            new = np.ones(len(key), bool)  # repeated rows have theirs again
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1]) | (upto[1:] != upto[:-1])
+            rows = np.flatnonzero(new)
+            edges = np.flatnonzero(np.append(True, key[rows][1:] != key[rows][:-1]))
+            out = []
+            for lo, hi in zip(edges, np.append(edges[1:], len(rows)), strict=True):
+                if hi - lo < 2:
+                    continue
+                m = rows[lo:hi]
+                starts = offsets[m].astype(np.int64)
+                ok = _linked(values, starts, offsets[m + 1] - starts, at[m], upto[m], side[m], percent)
+                links = ok.sum(axis=1)
+                some = np.flatnonzero(links)
+                if len(some):
+                    first = ok[some].argmax(axis=1)
+                    out.append((m[some], links[some], m[first], first < some))
+            if out:
+                m, links, to, earlier = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[m]), pa.array(line[m]), pa.array(links.astype(np.int64)), pa.array(doc[to], mask=~earlier), pa.array(line[to], mask=~earlier)],
+                    schema=pa.schema(fields),
+                )
+
+    met = members.join(sets, ["doc", "line"]).select("key", "side", "doc", "line", "at", "upto", "tokens")
+    return met.repartition("key").sortWithinPartitions("key", "doc", "line", "at", "upto").mapInArrow(run, COUNTS)
 
 
-def line_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, rarity: np.ndarray, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc, text): the lines with tokens (sa, sb, n, doc, line), and the classes of those with equal sets.
 
-    A class has sa, sb, n, its first line (doc, line), its entries, and ``more``: it has other lines.
+    A class has sa, sb, n, its first line (doc, line), its prefix, and ``more``: it has other lines.
     """
-    rows = stored(line_rows(docs, word_counts(docs), percent))
+    rows = stored(line_rows(docs, rarity, percent))
     place = F.struct("doc", "line")
     found = rows.groupBy("sa", "sb", "n").agg(
-        F.min(place).alias("f"), (F.min(place) != F.max(place)).alias("more"), F.first(F.struct("own", "cold", "bits", "tokens")).alias("t")
+        F.min(place).alias("f"), (F.min(place) != F.max(place)).alias("more"), F.first(F.struct("own", "bits", "cold", "hot")).alias("t")
     )
-    return rows.select("sa", "sb", "n", "doc", "line"), stored(found.select("sa", "sb", "n", "more", "f.doc", "f.line", "t.own", "t.cold", "t.bits", "t.tokens"))
-
-
-def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs of classes that match, each once: the later class (doc, line), the earlier one (to_doc, to_line)."""
-
-    def entries(tokens: Column, before: Column) -> DataFrame:
-        some = classes.select("doc", "line", "n", "bits", F.posexplode(tokens).alias("at", "token"), before.alias("before"))
-        return some.select("token", "doc", "line", "n", (F.col("at") + F.col("before")).alias("at"), "bits")
-
-    short = entries(F.slice("tokens", F.lit(1), F.col("cold")), F.col("own"))
-    hot = entries(F.slice("tokens", F.col("cold") + 1, F.size("tokens")), F.col("own") + F.col("cold"))
-    pairs = stored(_short_pairs(short, percent).union(_long_pairs(hot, percent)).distinct())
-    return stored(_verified(pairs, _line_sets(docs, pairs), percent))
+    classes = stored(found.select("sa", "sb", "n", "more", "f.doc", "f.line", "t.own", "t.bits", "t.cold", "t.hot"))
+    return rows.select("sa", "sb", "n", "doc", "line"), classes
+
+
+def class_links(docs: DataFrame, classes: DataFrame, rarity: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """doc, line, n_links and ``to`` (its earliest match before it: doc, line) of each class with a link."""
+    members = stored(_members(_cold_entries(classes), percent).union(_members(_hot_entries(classes, percent), percent)))
+    sweep(docs.sparkSession)
+    sets = stored(_line_sets(docs, members, rarity))
+    counts = []
+    for part in range(ROUNDS):
+        here = members.filter(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == part)
+        counts.append(stored(_counted(here, sets, percent)))
+        sweep(docs.sparkSession)
+    found = counts[0]
+    for more in counts[1:]:
+        found = found.union(more)
+    to = F.when(F.col("to_line").isNotNull(), F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
+    return found.groupBy("doc", "line").agg(F.sum("n_links").alias("n_links"), F.min(to).alias("to"))
 
 
 def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -335,11 +482,10 @@ def line_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     The class is its first line (class_doc, class_line), ``n_links`` the number of other classes that it
     matches.  The match (to_doc, to_line) is an earlier line; it is null where the line stays.
     """
-    rows, classes = line_classes(docs, percent)
-    links = class_links(docs, classes, percent)
-    other = F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))
-    ends = links.select("doc", "line", other.alias("to")).union(links.select("to_doc", "to_line", F.lit(None).cast("struct<doc:long,line:int>")))
-    ends = ends.groupBy("doc", "line").agg(F.count("*").alias("n_links"), F.min("to").alias("to"))
+    rarity = word_counts(docs)
+    rows, classes = line_classes(docs, rarity, percent)
+    sweep(docs.sparkSession)
+    ends = class_links(docs, classes, rarity, percent)
     key = F.struct("sa", "sb", "n").alias("key")
     heads = classes.filter("more").select(key, "doc", "line").join(ends, ["doc", "line"], "full")
     heads = heads.select("key", F.struct("doc", "line").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "to")
@@ -385,8 +531,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the removed lines cut out of the text, all columns kept; texts without any pass unchanged."""
-    from lodestone.llm.shared import fresh
-
     key, gone = fresh(docs, "key", "gone")
     marks = dedup_lines(docs, id_col, text_col, percent).filter("n_removed > 0")
     marks = marks.select(F.coalesce("doc_id", F.lit(LOWEST)).alias(key), F.transform("removed", lambda r: r["line"]).alias(gone)).dropDuplicates([key])

@@ -53,6 +53,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished steps, which stay until the driver's garbage collection finds them unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives back what Arrow holds unused; a Python worker outlives its task and counts on the executor."""
     pa.default_memory_pool().release_unused()
