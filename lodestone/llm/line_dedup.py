@@ -10,7 +10,7 @@ that comes before it, by document id, then by place in the document.
    inverted lists.  A word with more than ``SHORT`` occurrences makes no list by itself: two
    matching lines whose first common word is so frequent share a second word within one more
    place, so that the lists are those of pairs of words.
-3. Within a list, sizes, places (positional filter) and a 64-bit map, of the parities of the
+3. Within a list, sizes, places (positional filter) and a 128-bit map, of the parities of the
    tokens on each bit, bound the similarity of each two entries.  Entries that no other one may match leave; no pair is
    written down.
 4. The whole token sets of the entries left come to their lists and decide.  Two lines count
@@ -34,7 +34,7 @@ Defined results
 Scale: texts are not shuffled but where cleaned texts are asked for.  Lines shuffle as some
 100 bytes, their entries as 50; the copies of a line are one class.  Token sets move once for
 each list in which a line may have a match, in ``ROUNDS`` rounds over parts of the lists, the
-shuffle files of a round being freed before the next.  A list longer than ``CELL`` is dealt as a grid of pairs of
+shuffle files of a round being freed before the next.  A list longer than ``SHORT`` is dealt as a grid of pairs of
 its parts, so that no task holds more than two parts of it.  Broadcast are tables of fixed
 size: word counts (8 MB) and a bitmap of the lines to verify (64 MB at most; false hits only
 cost work).
@@ -55,42 +55,28 @@ from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, salted_j
 
 PERCENT = 80
 SLOTS = 1 << 23
-SHORT = 512
+SHORT = 16_384
 #: SHORT words or more, on the scale of ``word_counts``.
 LONG = int(8 * np.log2(1 + SHORT))
-#: Members of a list, or of a part of a longer one.
+#: Members of a list that are compared with as many others at once.
 CELL = 512
 #: Parts of the lists whose token sets move one after the other.
-ROUNDS = 2
+ROUNDS = 1
 #: Rows of lists, and pairs of them, that are looked at together.
 TOGETHER, PAIRS = 100_000, 2_000_000
+#: Lists of so many members are compared pair by pair, so many pairs at once.
+FEW, PAIRS_AT_ONCE = 8, 20_000
 BUFFER = 1 << 20
 LOWEST = -(1 << 63)
 WRAP = 1 << 40
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: The first so many bytes of eight.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 # ---------------------------------------------------------------- tokens of many texts at once
 
 
-class _Powers:
-    """Powers of the hash's base and of its inverse, as far as a buffer needs."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            with np.errstate(over="ignore"):
-                for name, base in (("up", BASE), ("down", INVERSE)):
-                    steps = np.full(n, base, np.uint64)
-                    steps[0] = 1
-                    setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up[:n], cls.down[:n]
-
-
 def _mix(h: np.ndarray, by: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
     return h ^ (h >> np.uint64(29))
@@ -98,17 +84,22 @@ def _mix(h: np.ndarray, by: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
 
 def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and line of each word of a buffer of lower-cased lines that ends with a line's end."""
-    a = np.frombuffer(buffer, np.uint8)
+    a = np.frombuffer(buffer + bytes(8), np.uint8)
     space = (a == 32) | ((a >= 9) & (a <= 13))
+    space[len(buffer) :] = True
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[~space[edge]], edge[space[edge]]
     if not space[0]:
-        starts = np.concatenate(([0], starts))
-    up, down = _Powers.upto(len(a))
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    line = np.cumsum(a == 10, dtype=np.int64)[starts]
-    return _mix((sums[ends] - sums[starts]) * down[starts]), line
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[::2], edge[1::2]
+    size = ends - starts
+    eight = np.ndarray(len(buffer) + 1, "<u8", a, strides=(1,))  # the eight bytes from each place on
+    h = _mix(size.astype(np.uint64) * np.uint64(BASE) ^ (eight[starts] & MASKS[np.minimum(size, 8)]))
+    more = np.flatnonzero(size > 8)
+    for at in range(8, int(size.max(initial=0)), 8):
+        more = more[size[more] > at]
+        h[more] = _mix(h[more] * np.uint64(BASE) ^ (eight[starts[more] + at] & MASKS[np.minimum(size[more] - at, 8)]))
+    ended = np.bincount(np.searchsorted(starts, np.flatnonzero(a[: len(buffer)] == 10)), minlength=len(starts) + 1)
+    return h, np.cumsum(ended)[: len(starts)]
 
 
 def buffers(texts) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -159,11 +150,17 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
 
 
-LINES = "sa long, sb long, doc long, line int, n int, own int, bits long, cold array<int>, hot array<int>"
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash's bit among 128, in two halves."""
+    one, high = np.uint64(1) << (h >> np.uint64(58)), h & np.uint64(1 << 57) != 0
+    return np.where(high, np.uint64(0), one), np.where(high, one, np.uint64(0))
+
+
+LINES = "sa long, sb long, doc long, line int, n int, own int, low long, high long, cold array<int>, hot array<int>"
 
 
 def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """One row a line with tokens: digest of its set, document, place, size, and the tokens of its prefix.
+    """One row a line with tokens: digest of its set, document, place, size, map and the tokens of its prefix.
 
     ``own`` counts the rarest tokens that no other line has; they need no list.  After them come the
     ``cold`` ones, whose lists are surely short, then the ``hot`` ones, whose words are too many; these
@@ -171,7 +168,7 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
     long = LONG if percent > 50 else 256  # one common word may be enough for a match: no word counts as hot
-    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("bits", pa.int64()), ("cold", pa.list_(pa.int32())), ("hot", pa.list_(pa.int32()))]
+    fields = [("sa", pa.int64()), ("sb", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("own", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("cold", pa.list_(pa.int32())), ("hot", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
     def lists(h: np.ndarray, entry: np.ndarray, starts: np.ndarray) -> pa.ListArray:
@@ -202,7 +199,7 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
                         pa.array((line - begin[doc]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         pa.array(np.add.reduceat(count == 8, starts, dtype=np.int32)),
-                        pa.array(np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts).view(np.int64)),
+                        *[pa.array(np.bitwise_xor.reduceat(x, starts).view(np.int64)) for x in _bits(h)],
                         lists(h, (place < keep) & (count > 8) & (count < long), starts),
                         lists(h, (place < keep + 1) & (count >= long) & inside, starts),
                     ],
@@ -238,8 +235,8 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _meeting(key, n, at, bits, side, percent: int) -> np.ndarray:
-    """Of entries sorted by list, size, document and line: those that some other of the list may match.
+def _meeting(key, n, at, low, high, side, percent: int) -> np.ndarray:
+    """Of entries sorted by list and size: those that some other of the list may match.
 
     Of two entries the later one's set is the larger.  Toward it, a match needs a token among fewer of
     the smaller set's rarest than toward smaller ones.
@@ -259,7 +256,8 @@ def _meeting(key, n, at, bits, side, percent: int) -> np.ndarray:
         both = n[i] + n[j]
         ok = np.minimum(room[i], room[j]) * (100 + percent) >= percent * both
         i, j, both = i[ok], j[ok], both[ok]
-        ok = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) * (100 + percent) <= (100 - percent) * both
+        apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+        ok = apart * (100 + percent) <= (100 - percent) * both
         if side is not None:
             ok &= (side[i] < 0) | (side[i] != side[j])
         found[i[ok]] = found[j[ok]] = True
@@ -279,7 +277,10 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
         for t in _groups(batches):
             key, n, at = _column(t, "key"), _column(t, "n").astype(np.int64), _column(t, "at").astype(np.int64)
             side = _column(t, "side") if dealt else None
-            found = np.flatnonzero(_meeting(key, n, at, _column(t, "bits").view(np.uint64), side, percent))
+            by = np.argsort(np.cumsum(np.append(True, key[1:] != key[:-1])) * (int(n.max()) + 1) + n)
+            low, high = (_column(t, c).view(np.uint64)[by] for c in ("low", "high"))
+            found = _meeting(key, n[by], at[by], low, high, side[by] if dealt else None, percent)
+            found = np.sort(by[found])
             at = at[found].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -293,12 +294,12 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
                 schema=pa.schema(fields),
             )
 
-    return entries.repartition("key").sortWithinPartitions("key", "n", "doc", "line").mapInArrow(run, MEMBERS)
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, MEMBERS)
 
 
 def _cold_entries(classes: DataFrame) -> DataFrame:
-    some = classes.select("doc", "line", "n", "own", "bits", F.posexplode("cold").alias("i", "token"))
-    return some.select(F.col("token").cast("long").alias("key"), "doc", "line", "n", (F.col("own") + F.col("i")).alias("at"), "bits")
+    some = classes.select("doc", "line", "n", "own", "low", "high", F.posexplode("cold").alias("i", "token"))
+    return some.select(F.col("token").cast("long").alias("key"), "doc", "line", "n", (F.col("own") + F.col("i")).alias("at"), "low", "high")
 
 
 def _hot_entries(classes: DataFrame, percent: int) -> DataFrame:
@@ -307,20 +308,20 @@ def _hot_entries(classes: DataFrame, percent: int) -> DataFrame:
     A cell holds two parts of a list, told apart by ``side``, or one part, where ``side`` is -1.
     """
     before = F.col("own") + F.size("cold")
-    some = classes.filter(F.size("hot") > 1).select("doc", "line", "n", "bits", before.alias("before"), "hot", F.posexplode("hot").alias("i", "first"))
+    some = classes.filter(F.size("hot") > 1).select("doc", "line", "n", "low", "high", before.alias("before"), "hot", F.posexplode("hot").alias("i", "first"))
     some = some.filter(F.col("before") + F.col("i") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
     some = some.select("*", F.posexplode(F.expr("slice(hot, i + 2, size(hot))")).alias("k", "second"))
     at = F.col("before") + F.col("i")
-    rows = some.select(F.xxhash64("first", "second").alias("key"), "doc", "line", "n", at.alias("at"), "bits", (at + F.col("k") + 1).alias("upto"))
+    rows = some.select(F.xxhash64("first", "second").alias("key"), "doc", "line", "n", at.alias("at"), "low", "high", (at + F.col("k") + 1).alias("upto"))
     rows = stored(rows)
-    parts = F.ceil(F.col("many") / CELL).cast("int")
-    longer = rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > CELL).select("key", parts.alias("parts"))
+    parts = F.ceil(F.col("many") / SHORT).cast("int")
+    longer = rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > SHORT).select("key", parts.alias("parts"))
     rows = rows.join(longer, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("parts") == 1, -1).when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
     cell = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return rows.select(cell.alias("key"), "doc", "line", "n", "at", "bits", "upto", side.alias("side"))
+    return rows.select(cell.alias("key"), "doc", "line", "n", "at", "low", "high", "upto", side.alias("side"))
 
 
 # ---------------------------------------------------------------- verification
@@ -367,43 +368,108 @@ def _line_sets(docs: DataFrame, members: DataFrame, rarity: np.ndarray) -> DataF
     return docs.select("doc", "text").mapInArrow(run, "doc long, line int, tokens array<long>")
 
 
-def _shared(tokens: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
-    """How many tokens each two members have in common."""
-    _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    some = count > 1
-    column = np.cumsum(some) - 1
-    keep = some[code]
-    code, owner = column[code[keep]], owner[keep]
-    both = np.zeros((members, members), np.float32)
-    width = int(some.sum())
-    for lo in range(0, width, 4096):
-        here = (code >= lo) & (code < lo + 4096)
-        part = np.zeros((members, min(4096, width - lo)), np.float32)
-        part[owner[here], code[here] - lo] = 1
-        both += part @ part.T
-    return both
-
-
-def _linked(values, starts, n, at, upto, side, percent: int) -> np.ndarray:
-    """Which members of a list are linked, and meet in this list first; member i has values[starts[i]:][:n[i]]."""
+class _Sets:
+    """Token sets of a list's members, as places in the table of tokens that two of them have."""
+
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray):
+        _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        keep = count[code] > 1
+        self.code, self.owner, self.width = column[code[keep]], owner[keep], int((count > 1).sum())
+
+    def rows(self, lo: int, hi: int, left: int, right: int) -> np.ndarray:
+        """Of members lo to hi, which tokens from left to right they have."""
+        a, b = np.searchsorted(self.owner, (lo, hi))
+        code, owner = self.code[a:b], self.owner[a:b]
+        here = (code >= left) & (code < right)
+        out = np.zeros((hi - lo, right - left), np.float32)
+        out[owner[here] - lo, code[here] - left] = 1
+        return out
+
+    def shared(self, i: tuple[int, int], j: tuple[int, int]) -> np.ndarray:
+        """How many tokens each member of the range i has in common with each of the range j."""
+        both = np.zeros((i[1] - i[0], j[1] - j[0]), np.float32)
+        for left in range(0, self.width, 4096):
+            right = min(self.width, left + 4096)
+            both += self.rows(*i, left, right) @ self.rows(*j, left, right).T
+        return both
+
+
+def _linked(values, starts, n, at, upto, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of a list, how many it is linked with and meets in this list first, and the first of them.
+
+    Member i has the tokens values[starts[i]:][:n[i]].  Long lists are taken in tiles of CELL members.
+    """
     members = len(n)
-    owner = np.repeat(np.arange(members), n)
+    tokens, owner = _expanded(values, starts, n)
     begin = np.cumsum(n) - n
-    place = np.arange(len(owner)) - begin[owner]
-    tokens = values[np.repeat(starts, n) + place]
-    both = _shared(tokens, owner, members)
-    ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(ok, False)
-    if not ok.any():
-        return ok
-    early = place < upto[owner]
-    ok &= _shared(tokens[early], owner[early], members) == (upto != at)
-    for where in (at, upto):
-        word = tokens[begin + where]
-        ok &= word[:, None] == word[None, :]
-    if side[0] >= 0:
-        ok &= side[:, None] != side[None, :]
-    return ok
+    early = np.arange(len(owner)) - begin[owner] < upto[owner]
+    whole, before = _Sets(tokens, owner), _Sets(tokens[early], owner[early])
+    words = [values[starts + where] for where in (at, upto)]
+    links, first = np.zeros(members, np.int64), np.full(members, members)
+    for lo in range(0, members, CELL):
+        i = lo, min(members, lo + CELL)
+        for to in range(0, members, CELL):
+            j = to, min(members, to + CELL)
+            both = whole.shared(i, j)
+            ok = 100 * both >= percent * (n[slice(*i), None] + n[None, slice(*j)] - both)
+            if lo == to:
+                np.fill_diagonal(ok, False)
+            if not ok.any():
+                continue
+            ok &= before.shared(i, j) == (upto != at)[slice(*i), None]
+            for word in words:
+                ok &= word[slice(*i), None] == word[None, slice(*j)]
+            if side[0] >= 0:
+                ok &= side[slice(*i), None] != side[None, slice(*j)]
+            links[lo : i[1]] += ok.sum(axis=1)
+            first[lo : i[1]] = np.minimum(first[lo : i[1]], np.where(ok.any(axis=1), to + ok.argmax(axis=1), members))
+    return links, first
+
+
+def _expanded(values, starts, n) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of some sets, and which set each is of."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return values[np.arange(len(owner)) + np.repeat(starts - np.cumsum(n) + n, n)], owner
+
+
+def _pair_shared(values, a, na, b, nb) -> np.ndarray:
+    """How many tokens the sets values[a[k]:][:na[k]] and values[b[k]:][:nb[k]] have in common, for each k."""
+    tokens, pair = (np.concatenate(x) for x in zip(_expanded(values, a, na), _expanded(values, b, nb), strict=True))
+    short = pair.astype(np.uint64) << np.uint64(40) | tokens >> np.uint64(24)
+    order = np.argsort(short)
+    tokens, pair, short = tokens[order], pair[order], short[order]
+    same, near = tokens[1:] == tokens[:-1], short[1:] == short[:-1]
+    if (near & ~same).any():  # two tokens that differ in their last bits only: sort by all of them
+        order = np.lexsort((tokens, pair))
+        tokens, pair = tokens[order], pair[order]
+        same, near = tokens[1:] == tokens[:-1], pair[1:] == pair[:-1]
+    return np.bincount(pair[1:][same & near], minlength=len(a))
+
+
+def _linked_pairs(values, starts, n, at, upto, side, ends, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_linked``, for the members of many short lists; ``ends`` says where the list of each member ends."""
+    members = len(n)
+    links, first = np.zeros(members, np.int64), np.full(members, members)
+    words = [values[starts + where] for where in (at, upto)]
+    many = ends - np.arange(1, members + 1)
+    i = np.repeat(np.arange(members), many)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] < 0) | (side[i] != side[j]))
+    for word in words:
+        ok &= word[i] == word[j]
+    i, j = i[ok], j[ok]
+    for lo in range(0, len(i), PAIRS_AT_ONCE):
+        x, y = i[lo : lo + PAIRS_AT_ONCE], j[lo : lo + PAIRS_AT_ONCE]
+        ok = _pair_shared(values, starts[x], upto[x], starts[y], upto[y]) == (upto != at)[x]
+        x, y = x[ok], y[ok]
+        both = _pair_shared(values, starts[x], n[x], starts[y], n[y])
+        ok = 100 * both >= percent * (n[x] + n[y] - both)
+        x, y = x[ok], y[ok]
+        links += np.bincount(x, minlength=members) + np.bincount(y, minlength=members)
+        np.minimum.at(first, x, y)
+        np.minimum.at(first, y, x)
+    return links, first
 
 
 COUNTS = "doc long, line int, n_links long, to_doc long, to_line int"
@@ -418,31 +484,35 @@ def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             key, doc, line, at, upto, side = (_column(t, c) for c in ("key", "doc", "line", "at", "upto", "side"))
             lists = t.column("tokens").combine_chunks()
             values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            rows = np.lexsort((upto, at, line, doc, key))
             new = np.ones(len(key), bool)  # repeated rows have theirs again
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1]) | (upto[1:] != upto[:-1])
-            rows = np.flatnonzero(new)
+            new[1:] = np.logical_or.reduce([c[rows][1:] != c[rows][:-1] for c in (key, doc, line, at, upto)])
+            rows = rows[new]
             edges = np.flatnonzero(np.append(True, key[rows][1:] != key[rows][:-1]))
+            size = np.diff(np.append(edges, len(rows)))
             out = []
-            for lo, hi in zip(edges, np.append(edges[1:], len(rows)), strict=True):
-                if hi - lo < 2:
-                    continue
-                m = rows[lo:hi]
-                starts = offsets[m].astype(np.int64)
-                ok = _linked(values, starts, offsets[m + 1] - starts, at[m], upto[m], side[m], percent)
-                links = ok.sum(axis=1)
+
+            def found(m, links, first):
                 some = np.flatnonzero(links)
-                if len(some):
-                    first = ok[some].argmax(axis=1)
-                    out.append((m[some], links[some], m[first], first < some))
-            if out:
-                m, links, to, earlier = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[m]), pa.array(line[m]), pa.array(links.astype(np.int64)), pa.array(doc[to], mask=~earlier), pa.array(line[to], mask=~earlier)],
-                    schema=pa.schema(fields),
-                )
+                out.append((m[some], links[some], m[first[some]], first[some] < some))
+
+            starts = offsets[:-1].astype(np.int64)
+            n = np.diff(offsets).astype(np.int64)
+            for lo, hi in zip(edges[size > FEW], (edges + size)[size > FEW], strict=True):
+                m = rows[lo:hi]
+                found(m, *_linked(values, starts[m], n[m], at[m], upto[m], side[m], percent))
+            few = np.repeat((size > 1) & (size <= FEW), size)
+            ends = np.cumsum(few)[np.repeat(edges + size, size) - 1]
+            m = rows[few]
+            found(m, *_linked_pairs(values, starts[m], n[m], at[m], upto[m], side[m], ends[few], percent))
+            m, links, to, earlier = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[m]), pa.array(line[m]), pa.array(links.astype(np.int64)), pa.array(doc[to], mask=~earlier), pa.array(line[to], mask=~earlier)],
+                schema=pa.schema(fields),
+            )
 
     met = members.join(sets, ["doc", "line"]).select("key", "side", "doc", "line", "at", "upto", "tokens")
-    return met.repartition("key").sortWithinPartitions("key", "doc", "line", "at", "upto").mapInArrow(run, COUNTS)
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, COUNTS)
 
 
 def line_classes(docs: DataFrame, rarity: np.ndarray, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -453,9 +523,9 @@ def line_classes(docs: DataFrame, rarity: np.ndarray, percent: int = PERCENT) ->
     rows = stored(line_rows(docs, rarity, percent))
     place = F.struct("doc", "line")
     found = rows.groupBy("sa", "sb", "n").agg(
-        F.min(place).alias("f"), (F.min(place) != F.max(place)).alias("more"), F.first(F.struct("own", "bits", "cold", "hot")).alias("t")
+        F.min(place).alias("f"), (F.min(place) != F.max(place)).alias("more"), F.first(F.struct("own", "low", "high", "cold", "hot")).alias("t")
     )
-    classes = stored(found.select("sa", "sb", "n", "more", "f.doc", "f.line", "t.own", "t.bits", "t.cold", "t.hot"))
+    classes = stored(found.select("sa", "sb", "n", "more", "f.doc", "f.line", "t.own", "t.low", "t.high", "t.cold", "t.hot"))
     return rows.select("sa", "sb", "n", "doc", "line"), classes
 
 

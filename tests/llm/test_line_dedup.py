@@ -96,12 +96,26 @@ def test_repeated_rows_count_as_one(spark):
 @pytest.mark.parametrize("short", [64, 3])
 def test_classes_and_links_equal_brute_force(spark, monkeypatch, short):
     monkeypatch.setattr(ld, "LONG", int(8 * np.log2(1 + short)))
+    monkeypatch.setattr(ld, "SHORT", short)
+    monkeypatch.setattr(ld, "CELL", 2 * short)
+    monkeypatch.setattr(ld, "FEW", 8 if short > 8 else 2)
     rows = messy_rows(n=50) + near_lines()
     want = brute_links(rows)
     assert max(n for *_, n in want.values()) > 2
     assert linked(ld.dedup_lines(frame(spark, rows))) == want
 
 
+def test_one_word_in_most_lines(spark, monkeypatch):
+    monkeypatch.setattr(ld, "LONG", int(8 * np.log2(1 + 8)))
+    monkeypatch.setattr(ld, "SHORT", 8)
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        few = rng.sample(["common", "frequent", "usual", "often", "daily", "plain"], rng.randrange(4, 7))
+        rows.append((i, " ".join([*few, *(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 3)))]), *[None] * 8))
+    assert linked(ld.dedup_lines(frame(spark, rows))) == brute_links(rows)
+
+
 def test_texts_keep_first_lines(spark):
     rows = [(1, "alpha beta gamma\n\nunique one here", *[None] * 8), (2, "ALPHA beta gamma\nnew line\n", *[None] * 8), (3, None, *[None] * 8)]
     docs = frame(spark, rows)
