@@ -4,17 +4,20 @@
    least hashes are its sketch.  Texts with equal sets form one class, by a 128-bit digest
    of the set; from here on a class is one node, its least id.
 2. Inverted lists of the retained values: of two linked texts, the least ``K`` values of the
-   union hold almost surely at least ``overlap_floor`` values of both sketches.  A class with
+   union hold almost surely at least ``least_overlap`` values of both sketches.  A class with
    fewer values that any other class retains has no link and leaves.
-3. The classes left take their lists over the whole set, rarest shingles first, as far as a
-   linked pair must meet (prefix filter), and each list links its members to one hub, the
-   member with the fewest rarer shingles.  Lengths and places in the lists filter; the
-   sketch of the union estimates; the whole sets verify, with integer arithmetic.
-4. Lists whose members are by then in one component are done.  In the others, each member
+3. Counting overlaps stops where they cannot reach that number any more: with the values of
+   each sketch ordered by the length of their lists, a linked pair meets in one of the first
+   ``k - least_overlap + 1``.  Values with more than ``LONG`` classes make lists by pairs of
+   values, of which a linked pair has one within one more place.
+4. Each list links its members to one hub, the member with the fewest rarer values.  Sizes
+   and places in the lists bound the overlap; the sketch of the union gives it and estimates;
+   the whole sets verify, with integer arithmetic.
+5. Lists whose members are by then in one component are done.  In the others, each member
    outside the hub's component meets all members of other components, in the same way.  So
    no link between components stays unseen, while the pairs inside a large group of copies
    are never written out.
-5. Components of the verified links.
+6. Components of the verified links.
 
 Defined results
 ---------------
@@ -23,13 +26,12 @@ Defined results
 * Equal texts and equal sets are linked; repeated rows each get a row.  Ids are taken as
   unique: rows that share an id share a node.
 * An empty table gives an empty result.
-* What is not exact: step 2 loses a linked pair with a probability below 1e-9 a pair, and
-  hashes of 64 bits may collide.
+* What is not exact: steps 2 and 3 lose a linked pair with a probability below 1e-9 a pair,
+  and hashes of 64 bits may collide.
 
 Scale: texts are never shuffled.  Classes shuffle as sketches (0.5 KB each), and sets move
-only for classes that step 2 leaves and pairs that the estimate passes.  Broadcast are two
-tables of fixed size: a bitmap of ids (64 MB at most; false hits only cost work) and counts of
-shingles (4 MB; they only order the lists).
+only for classes in candidate pairs and pairs that the estimate passes.  Broadcast is a bitmap
+of ids (64 MB at most; false hits only cost work).
 """
 
 from __future__ import annotations
@@ -45,11 +47,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, table
+from lodestone.llm.shared import cut, fresh, release, salted_join, table
 
 K = 64
 LOSS = 1e-9
-SLOTS = 1 << 20
+#: Lists longer than this are split by a second value.
+LONG = 512
 SALTS = 8
 #: Stands for a null id, which comes before all others.
 LOWEST = -(1 << 63)
@@ -128,14 +131,29 @@ def _ids_and_texts(docs, id_col, text_col):
 # ---------------------------------------------------------------- candidates
 
 
-def _sharing(classes: DataFrame, percent: int) -> DataFrame:
-    """Nodes with enough retained values that another class retains too."""
-    floor = overlap_floor(K, percent)
+def _least_overlap(percent: int):
+    """Values that the sketch of a set of size n shares at least with a linked one's, almost surely."""
+    return F.least(F.expr(f"({percent} * n + 99) div 100"), F.lit(overlap_floor(K, percent)))
+
+
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
+    """Each class's places in the inverted lists of retained values: token (the list), at, node, n."""
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("lists")).filter("lists > 1").select("value")
-    met = values.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("met"))
-    least = F.least(F.ceil(F.col("n") * percent / 100), F.lit(floor))
-    return met.filter(F.col("met") >= least).select("node")
+    lists = values.groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
+    kept = values.join(lists, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("many", "value"))).alias("v"))
+    least = _least_overlap(percent)
+    kept = kept.filter(F.size("v") >= least)
+    # values that no other class retains are the rarest ones and make no list
+    kept = kept.withColumn("own", F.least("n", F.lit(K)) - F.size("v")).withColumn("keep", F.least("n", F.lit(K)) - least + 1)
+    long = LONG if percent > 50 else 1 << 62  # one common value may be enough: every value makes its own list
+    kept = kept.withColumn("short", F.size(F.filter("v", lambda x: x["many"] <= long)))
+    first = kept.select("node", "n", "own", "keep", "short", "v", F.posexplode("v").alias("i", "x"))
+    first = first.filter(F.col("own") + F.col("i") < F.col("keep"))
+    at = (F.col("own") + F.col("i")).cast("int").alias("at")
+    alone = first.filter(F.col("i") < F.col("short")).select(F.col("x.value").alias("token"), at, "node", "n")
+    pairs = first.filter(F.col("i") >= F.col("short")).select("*", F.explode(F.expr("slice(v, i + 2, greatest(0, cast(keep - own - i as int)))")).alias("y"))
+    pairs = pairs.select(F.xxhash64("x.value", "y.value").alias("token"), at, "node", "n")
+    return alone.union(pairs)
 
 
 def _slot(name: str, bits: int):
@@ -164,48 +182,12 @@ def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _slot_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
-def _slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall on each of SLOTS slots."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            if len(batch):
-                total += np.bincount(_slot_of(np.concatenate([_as_set(x) for x in batch["set"]])), minlength=SLOTS)
-        yield from slot_blocks(total)
-
-    return merged_slots(sets.select("set").mapInPandas(run, SLOT_BLOCKS), SLOTS)
-
-
-def _entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """Each set's rarest shingles, as many as a linked pair needs to meet: token, place, node, size."""
-    held = sets.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = held.value
-        for batch in batches:
-            parts = []
-            for node, raw in zip(batch["node"], batch["set"], strict=True):
-                s = _as_set(raw)
-                n = len(s)
-                at = np.arange(n - needed(n, percent) + 1)
-                first = np.lexsort((s, count[_slot_of(s)]))[: len(at)]
-                parts.append((s[first].view(np.int64), at, np.full(len(at), node), np.full(len(at), n)))
-            if parts:
-                yield pd.DataFrame({k: np.concatenate(c) for k, c in zip(("token", "at", "node", "n"), zip(*parts, strict=True), strict=True)})
-
-    return sets.select("node", "set").mapInPandas(run, "token long, at int, node long, n int")
-
-
 def _can_meet(a: str, b: str, percent: int):
-    """Lengths and places of two entries of one list allow a link."""
+    """Sizes and places of two entries of one list allow a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    room = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room * (100 + percent) >= percent * (na + nb))
+    room = F.least(F.least(na, F.lit(K)) - F.col(f"{a}.at"), F.least(nb, F.lit(K)) - F.col(f"{b}.at"))
+    least = F.least(F.ceil(F.greatest(na, nb) * percent / 100), F.lit(overlap_floor(K, percent)))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room >= least)
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -271,9 +253,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    nodes = cut(_sharing(classes, percent))
-    sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), nodes, size))
-    entries = cut(_entries(sets, _slot_counts(sets), percent))
+    entries = cut(_entries(classes, percent))
+    sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), entries.select("node").distinct(), size))
     links = cut(_verified(_star_pairs(entries, percent), sets, percent))
     comps = components(links)
     more = cut(_verified(cut(_rest_pairs(entries, comps, percent)), sets, percent))
@@ -294,15 +275,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that a bitmap of the dropped ids clears pass straight through; only the others shuffle.
     """
-    gone = cut(near_components(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("gone")))
+    page, bitmap, slot, hit, gone_id = fresh(docs, "page", "bits", "slot", "hit", "gone")
+    gone = cut(near_components(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias(gone_id)))
     bits = filter_bits(gone.count())
-    page, bitmap, slot, hit = fresh(docs, "page", "bits", "slot", "hit")
-    slots = gone.select(_slot("gone", bits).alias(slot)).distinct()
+    slots = gone.select(_slot(gone_id, bits).alias(slot)).distinct()
     pages = slots.groupBy(F.expr(f"{slot} div {PAGE}").alias(page)).agg(F.expr(f"bitmap_construct_agg({slot} % {PAGE})").alias(bitmap))
     rows = docs.withColumn(slot, _slot(f"`{id_col}`", bits)).join(F.broadcast(pages), F.floor(F.col(slot) / PAGE) == F.col(page), "left")
     rows = rows.withColumn(hit, _hit(bitmap, F.col(slot)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    asked = rows.filter(hit).select(*columns).join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    asked = rows.filter(hit).select(*columns).join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
     return rows.filter(~F.col(hit)).select(*columns).union(asked)
 
 

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import near_dedup as nd
 from lodestone.llm.components import components
@@ -48,8 +49,9 @@ def near_cluster(seed=6, n=150, length=150):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
-def test_components_equal_brute_force(spark, size, percent):
+@pytest.mark.parametrize(("size", "percent", "long"), [(3, 85, 512), (5, 80, 512), (5, 80, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, size, percent, long):
+    monkeypatch.setattr(nd, "LONG", long)
     rows = messy_rows(n=80) + near_cluster()
     found = nd.near_components(frame(spark, rows), size=size, percent=percent).collect()
     want = brute(rows, size, percent)
@@ -67,6 +69,14 @@ def test_drop_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_columns_with_the_names_of_its_own(spark):
+    rows = messy_rows(n=30)
+    docs = frame(spark, rows).select("*", *[F.lit(1).alias(c) for c in ("gone", "__gone", "bits", "page", "hit", "a", "b", "component_id")])
+    kept = nd.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in brute(rows, 5, 80).items() if i == c)
+
+
 def test_repeated_null_and_empty(spark):
     rows = [(4, "one two three four", *[None] * 8)] * 3 + [(None, "one two three four", *[None] * 8), (2, None, *[None] * 8), (1, "", *[None] * 8)]
     found = nd.near_components(frame(spark, rows), size=3, percent=85).collect()
