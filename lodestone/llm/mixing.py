@@ -3,11 +3,11 @@
 Each source's documents, in a seeded pseudo-random order, form one stream of words.  The
 mix takes from each source a prefix of that stream, repeated from its start where the
 target exceeds the source, so that the words taken equal the rounded target.  The prefix
-is cut into blocks of equal words.  A tree over the output shards splits the exact block
-quotas of all sources: at each node, the composition of the left half is one draw of the
-multivariate hypergeometric law, the right half gets the rest.  Each source's blocks are
-permuted and handed to the shards in disjoint ranges as long as their quotas; within a
-shard, rows get a local random order.
+is cut into blocks of whole documents, each of those that start within so many words.  A
+tree over the output shards splits the exact block quotas of all sources: at each node, the
+composition of the left half is one draw of the multivariate hypergeometric law, the right
+half gets the rest.  Each source's blocks are permuted and handed to the shards in disjoint
+ranges as long as their quotas; within a shard, rows get a local random order.
 
 Defined results
 ---------------
@@ -20,8 +20,10 @@ Defined results
 
 Scale: texts are not shuffled by ``mix_plan``; prefix sums have two levels, (source, bucket) on the
 cluster and one number per bucket, so a source with a third of all rows is dealt over as
-many tasks as its buckets.  Per source, one total goes to the driver (a few bytes each).
-Output shards are as many as ``WORDS_PER_SHARD`` fills, ``MAX_SHARDS`` at most.
+many tasks as its buckets.  Per source, a few totals go to the driver, which holds one number for
+each source and shard, ``NUMBERS`` at most: output shards are as many as ``WORDS_PER_SHARD`` fills,
+``MAX_SHARDS`` and ``NUMBERS`` by the number of sources at most, and larger beyond that.  A shard
+has about ``BLOCKS_PER_SHARD`` blocks, so that its words are as even as documents allow.
 """
 
 from __future__ import annotations
@@ -38,13 +40,15 @@ from lodestone.llm.shared import WORD, cut, fresh, table
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
 ROWS_PER_BUCKET = 10_000
-MAX_BLOCKS = 1 << 28
 WORDS_PER_SHARD = 2_000_000
+BLOCKS_PER_SHARD = 256
 MAX_SHARDS = 1 << 16
+#: Numbers that the driver holds, one a source and shard.
+NUMBERS = 1 << 24
 #: The shards' last blocks are looked up in groups of so many.
 FAN = 256
-#: The table of sources is broadcast up to so many sources, and joined by shuffle beyond.
-BROADCAST_SOURCES = 10_000
+#: The table of sources is broadcast up to so many bytes, and joined by shuffle beyond.
+BROADCAST_BYTES = 32 << 20
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = CAP) -> dict[str | None, float]:
@@ -102,12 +106,14 @@ def mix_plan(
     """``docs`` with columns added for its part in the mix; returns (rows, names of the added columns).
 
     ``size_col`` holds each document's words, not null.  Added: source_size, target, taken
-    (words) and draws, an array of (shard, place, words) with one entry for each time the
-    document is taken, in whole or as its first ``words`` words.
+    (words) and draws, an array of (shard, block, place, words) with one entry for each time
+    the document is taken, in whole or as its first ``words`` words; ``block`` numbers the
+    blocks of a source, all of whose documents go to the shard that has it.
     """
     keys = ("source_size", "target", "taken", "draws")
     names = dict(zip(keys, fresh(docs, *keys), strict=True))
-    key, src, bucket, before, offset, plan, start = fresh(docs, "key", "src", "bucket", "before", "offset", "plan", "start")
+    key, src, bucket, before, block, first, plan, start = fresh(docs, "key", "src", "bucket", "before", "block", "first", "plan", "start")
+    words, blocks = fresh(docs, "words", "blocks")
     size, ident = F.col(f"`{size_col}`"), F.col(f"`{id_col}`")
     source = F.col(f"`{source_col}`").cast("string")
     n = docs.count()
@@ -118,43 +124,59 @@ def mix_plan(
             bucket: F.shiftrightunsigned(key, 64 - bits),
         }
     )
-    sums = cut(rows.groupBy(src, bucket).agg(F.sum(size).alias(offset)))
-    total = {r[0]: r[1] for r in sums.groupBy(src).agg(F.sum(offset)).toLocalIterator()}
+    light = cut(rows.select(src, bucket, key, ident, size))
+    total = {r[0]: r[1] for r in light.groupBy(src).agg(F.sum(size)).toLocalIterator()}
     name = {s: None if s == "n" else s[1:] for s in total}
     goal = targets({name[s]: w for s, w in total.items()})
     quota = {s: min(CAP * total[s], round(goal[name[s]])) for s in total}
-    shards = shards or min(MAX_SHARDS, max(1, -(-sum(quota.values()) // WORDS_PER_SHARD)))
-    block = max(64, math.ceil(sum(quota.values()) / MAX_BLOCKS))
+    shards = shards or max(1, min(MAX_SHARDS, NUMBERS // max(1, len(total)), -(-sum(quota.values()) // WORDS_PER_SHARD)))
+    width = max(1, sum(quota.values()) // (shards * BLOCKS_PER_SHARD))
+    local = Window.partitionBy(src, bucket).orderBy(key, ident, size)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Adds the words before a row in its bucket, and whether it is the first document of a block."""
+        rows = rows.withColumn(before, F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+        last = F.max(F.when(size > 0, F.floor(F.col(before) / width))).over(earlier)
+        opens = (size > 0) & (last.isNull() | (last < F.floor(F.col(before) / width)))
+        return rows.withColumn(first, opens.cast("long"))
+
+    level = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(placed(light).groupBy(src, bucket).agg(F.sum(size).alias(words), F.sum(first).alias(blocks)))
+    offsets = sums.select(src, bucket, *[F.coalesce(F.sum(c).over(level), F.lit(0)).alias(c) for c in (words, blocks)])
+    # blocks of a whole pass over a source, and of its last pass, which ends within the stream
+    rest = docs.sparkSession.createDataFrame([(s, quota[s] % total[s] if total[s] else 0) for s in total], f"{src} string, {start} long")
+    opened = placed(light).filter(F.col(first) == 1).join(offsets, [src, bucket]).join(rest, src)
+    opened = opened.groupBy(src).agg(F.count("*").alias(blocks), F.count_if(F.col(before) + F.col(words) < F.col(start)).alias(words))
+    whole = {r[0]: (r[1], r[2]) for r in opened.toLocalIterator()}
     order = sorted(total)
-    blocks = [-(-quota[s] // block) for s in order]
-    per_shard = split_quotas(blocks, shards, seed)
+    counts = [quota[s] // total[s] * whole[s][0] + whole[s][1] if total[s] else 0 for s in order]
+    per_shard = split_quotas(counts, shards, seed)
     lines = []
     for i, s in enumerate(order):
         rng = random.Random(f"{seed}:{s}")
-        count = max(1, blocks[i])
+        count = max(1, counts[i])
         ends = np.cumsum([shard[i] for shard in per_shard]).tolist()
         ends = [ends[j : j + FAN] for j in range(0, shards, FAN)]
-        lines.append((s, (total[s], goal[name[s]], quota[s], count, _coprime(count, rng), rng.randrange(count), ends)))
+        lines.append((s, (total[s], goal[name[s]], quota[s], whole.get(s, (0, 0))[0], count, _coprime(count, rng), rng.randrange(count), ends)))
     sources = docs.sparkSession.createDataFrame(
-        lines, f"{src} string, {plan} struct<total:long,goal:double,quota:long,blocks:long,mul:long,add:long,ends:array<array<long>>>"
+        lines, f"{src} string, {plan} struct<total:long,goal:double,quota:long,pass:long,blocks:long,mul:long,add:long,ends:array<array<long>>>"
     )
-    if len(lines) <= BROADCAST_SOURCES:
+    if 8 * shards * len(lines) <= BROADCAST_BYTES:
         sources = F.broadcast(sources)
-    earlier = Window.unboundedPreceding, -1
-    level = Window.partitionBy(src).orderBy(bucket).rowsBetween(*earlier)
-    offsets = sums.withColumn(offset, F.coalesce(F.sum(offset).over(level), F.lit(0)))
-    local = Window.partitionBy(src, bucket).orderBy(key, ident).rowsBetween(*earlier)
-    rows = rows.withColumn(before, F.coalesce(F.sum(size).over(local), F.lit(0)))
-    rows = rows.join(offsets, [src, bucket]).join(sources, src).withColumn(start, F.col(before) + F.col(offset))
+    rows = placed(rows).withColumn(block, F.sum(first).over(local.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = rows.join(offsets, [src, bucket]).join(sources, src).withColumn(start, F.col(before) + F.col(words))
     of = lambda field: F.col(f"{plan}.{field}")
 
     def draw(i):
         at = of("total") * i + F.col(start)
-        words = F.least(F.greatest(of("quota") - at, F.lit(0)), size)
-        moved = F.pmod(F.floor(at / block) * of("mul") + of("add"), of("blocks"))
+        taken = F.least(F.greatest(of("quota") - at, F.lit(0)), size)
+        number = of("pass") * i + F.col(blocks) + F.col(block)
+        # number * mul may pass 64 bits from some 3e9 blocks a source on
+        moved = F.pmod(number.cast("decimal(20,0)") * of("mul").cast("decimal(18,0)") + of("add"), of("blocks")).cast("long")
         group = F.size(F.filter(of("ends"), lambda e: F.element_at(e, -1) <= moved))
         shard = group * FAN + F.size(F.filter(F.get(of("ends"), group), lambda e: e <= moved))
-        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), ident, i).alias("place"), words.alias("words"))
+        return F.struct(shard.alias("shard"), number.alias("block"), F.xxhash64(F.lit(seed + 1), ident, i).alias("place"), taken.alias("words"))
 
     draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(CAP)), draw), lambda d: d["words"] > 0)
     rows = rows.withColumns({names["draws"]: draws, names["source_size"]: of("total"), names["target"]: of("goal")})

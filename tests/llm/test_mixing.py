@@ -64,6 +64,36 @@ def test_mix_takes_what_the_plan_says(spark):
     assert {k: v for k, v in plan.items() if v} == dict(words)
 
 
+def test_shards_get_their_quotas_of_whole_blocks(spark):
+    docs = frame(spark, messy_rows(n=400)).withColumn("w", mixing.word_count(F.col("text")))
+    plan, names = mixing.mix_plan(docs, "w", shards=7)
+    of_block, held = {}, defaultdict(set)
+    for r in plan.collect():
+        for d in r[names["draws"]]:
+            assert of_block.setdefault((r["source"], d["block"]), d["shard"]) == d["shard"]
+            held[r["source"], d["shard"]].add(d["block"])
+    many = defaultdict(int)
+    for source, _ in of_block:
+        many[source] += 1
+    order = sorted(many, key=lambda s: "n" if s is None else "s" + s)
+    for source in order:
+        assert {b for s, b in of_block if s == source} == set(range(many[source]))
+    quotas = mixing.split_quotas([many[s] for s in order], 7, seed=17)
+    assert {(s, k): len(held[s, k]) for s in order for k in range(7)} == {(s, k): quotas[k][i] for i, s in enumerate(order) for k in range(7)}
+
+
+def test_splits_follow_the_hypergeometric_law():
+    quotas, shards, runs = [30, 10, 20], 4, 3000
+    drawn = [mixing.split_quotas(quotas, shards, seed) for seed in range(runs)]
+    for k in range(shards):
+        for i, q in enumerate(quotas):
+            x = [d[k][i] for d in drawn]
+            mean, share, n = sum(x) / runs, q / sum(quotas), sum(quotas) // shards
+            var = sum((v - mean) ** 2 for v in x) / runs
+            want = n * share * (1 - share) * (sum(quotas) - n) / (sum(quotas) - 1)
+            assert mean == pytest.approx(n * share, abs=4 * (want / runs) ** 0.5) and var == pytest.approx(want, rel=0.15)
+
+
 def test_cut_text_keeps_its_white_space(spark):
     text = "\n one\ttwo\n\n  three " * 20
     mixed = mixing.mix(frame(spark, [(i, text, "en", f"s{i}", len(text), *[None] * 5) for i in range(3)])).collect()
