@@ -2,7 +2,10 @@
 
 A text is normalised and split into words as the vocabulary file says (canonical
 composition, white space dropped, lower case; a run of letters, one digit, or a run of
-other characters a word).  A word's symbols start as its bytes, the last one marked as the
+other characters a word).  Which characters are letters, digits or white space, and their
+lower case and composition, differ between versions of Unicode, so that only texts of ``PLAIN``
+characters, where all versions agree, are split here; the others are normalised and split by
+the vocabulary's own library.  A word's symbols start as its bytes, the last one marked as the
 word's end.  Adjacent pairs lie in a heap by merge rank and position; the lowest is popped
 again and again, merged in a doubly linked list, and its new neighbours are pushed.  The
 count is the initial symbols less the merges; no identifier is made.
@@ -24,13 +27,13 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm.shared import table
 
@@ -38,6 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 CACHE_WORDS = 1_000_000
 END = "</w>"
+#: Characters on whose class, lower case and composition all versions of Unicode agree: Latin
+#: letters but the dotted capital I, common punctuation, the euro sign.
+PLAIN = "\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a\u20ac"
 
 
 def byte_symbols() -> list[str]:
@@ -115,12 +121,21 @@ class Counter:
         self.words = regex.compile(split.replace(r"\s", white), regex.V0)
         self.space = regex.compile(space.replace(r"\s", white), regex.V0)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
+        self.other = regex.compile(f"[^{PLAIN}]")
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {ord(c): b for b, c in enumerate(byte_symbols())}
+
+    def split(self, text: str) -> Iterator[str]:
+        """The words of a text without special strings."""
+        if text.isascii() or not self.other.search(text):
+            return self.words.findall(self.space.sub(" ", text).lower())
+        shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        # each byte of a word is shown as one character
+        return (word.translate(self.byte_of).encode("latin-1").decode() for word, _ in shown)
 
     def plain(self, text: str) -> int:
-        if not text.isascii():
-            text = normalize("NFC", text)
         counts, merger, total = self.merger.counts, self.merger, 0
-        for word in self.words.findall(lower(self.space.sub(" ", text))):
+        for word in self.split(text):
             n = counts.get(word)
             total += merger.__missing__(word) if n is None else n
         return total
@@ -134,13 +149,6 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-def lower(text: str) -> str:
-    """Each character's own lower case, without the final-sigma rule of whole words."""
-    if text.isascii() or "Σ" not in text:
-        return text.lower()
-    return "σ".join(part.lower() for part in text.split("Σ"))
-
-
 @lru_cache(2)
 def counter(path: str) -> Counter:
     return Counter(path)

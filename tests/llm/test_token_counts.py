@@ -32,6 +32,27 @@ def test_random_unicode(library):
         assert count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_every_code_point_in_context(library):
+    """After a joiner, a dotted capital I, a letter and a digit; planes without any character by samples."""
+    count = token_counts.counter(public_tokenizers.path(token_counts.VOCABULARY))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or 0xE0000 <= c < 0xE0200 or c % 97 == 0)]
+    for lo in range(0, len(points), 20_000):
+        texts = [f"\u200d{chr(c)} \u0130{chr(c)} a{chr(c)} 1{chr(c)}" for c in points[lo : lo + 20_000]]
+        want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [count(t) for t in texts] == want
+
+
+def test_characters_split_here(library):
+    """Runs of the characters that the operator splits itself."""
+    rng = random.Random(5)
+    count = token_counts.counter(public_tokenizers.path(token_counts.VOCABULARY))
+    pool = [chr(c) for c in [*range(0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC]]
+    for _ in range(5000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))
+        assert not count.other.search(text)
+        assert count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_WORDS", 10)
     count = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY))
