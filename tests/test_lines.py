@@ -30,13 +30,13 @@ def test_code_windows():
 
 def test_chunks_lose_no_line():
     source = "import os\n\n@d\nclass A(B):\n    x = 1\n\n    def f(self):\n        def g():\n            pass\n        return g\n\n    y = 2\n\nz = 3\n\nasync def h():\n    await h()\n\nif True:\n    def k():\n        pass\n"
-    found = chunking.chunk_source(source, "a.py", "python")
+    found = chunking.chunk_source(source, "a.py", "Python")
     names = [(c[3], c[4]) for c in found]
     assert ("A", "class") in names and ("A.f", "function") in names and ("h", "function") in names and ("k", "function") in names
     assert not any(n == "A.f.g" for n, _ in names)
     covered = {i for c in found for i in range(c[5], c[6] + 1)}
     assert all(i in covered for i, line in enumerate(source.split("\n"), 1) if line.strip())
-    broken = chunking.chunk_source("def broken(:\n  x\n", "b.py", "python")
+    broken = chunking.chunk_source("def broken(:\n  x\n", "b.py", "Python")
     assert [(c[3], c[5], c[6]) for c in broken] == [("<module>", 1, 2)]
 
 
