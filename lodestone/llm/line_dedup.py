@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, salted_join, slot_blocks, stored, sweep, table
+from lodestone.llm.shared import SLOT_BLOCKS, column, cut, expanded, fresh, merged_slots, salted_join, slot_blocks, stored, sweep, table, whole_lists
 
 PERCENT = 80
 SLOTS = 1 << 23
@@ -62,8 +62,8 @@ LONG = int(8 * np.log2(1 + SHORT))
 CELL = 512
 #: Parts of the lists whose token sets move one after the other.
 ROUNDS = 1
-#: Rows of lists, and pairs of them, that are looked at together.
-TOGETHER, PAIRS = 100_000, 2_000_000
+#: Pairs of entries that are looked at together.
+PAIRS = 2_000_000
 #: Lists of so many members are compared pair by pair, so many pairs at once.
 FEW, PAIRS_AT_ONCE = 8, 20_000
 BUFFER = 1 << 20
@@ -212,29 +212,6 @@ def line_rows(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole lists, from rows that are sorted by ``key``."""
-    waiting: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        waiting.append(batch)
-        rows += batch.num_rows
-        if rows >= TOGETHER:
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if last or waiting[0].column("key")[0].as_py() != key[-1]:
-                yield pa.Table.from_batches([*waiting[:-1], batch.slice(0, last)])
-                waiting, rows = [batch.slice(last)], batch.num_rows - last
-    if waiting:
-        yield pa.Table.from_batches(waiting)
-
-
-def _column(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-
-
 def _meeting(key, n, at, low, high, side, percent: int) -> np.ndarray:
     """Of entries sorted by list and size: those that some other of the list may match.
 
@@ -274,11 +251,11 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
     dealt = "side" in entries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            key, n, at = _column(t, "key"), _column(t, "n").astype(np.int64), _column(t, "at").astype(np.int64)
-            side = _column(t, "side") if dealt else None
+        for t in whole_lists(batches):
+            key, n, at = column(t, "key"), column(t, "n").astype(np.int64), column(t, "at").astype(np.int64)
+            side = column(t, "side") if dealt else None
             by = np.argsort(np.cumsum(np.append(True, key[1:] != key[:-1])) * (int(n.max()) + 1) + n)
-            low, high = (_column(t, c).view(np.uint64)[by] for c in ("low", "high"))
+            low, high = (column(t, c).view(np.uint64)[by] for c in ("low", "high"))
             found = _meeting(key, n[by], at[by], low, high, side[by] if dealt else None, percent)
             found = np.sort(by[found])
             at = at[found].astype(np.int32)
@@ -286,10 +263,10 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
                 [
                     pa.array(key[found]),
                     pa.array(side[found] if dealt else np.full(len(found), -1, np.int32)),
-                    pa.array(_column(t, "doc")[found]),
-                    pa.array(_column(t, "line")[found]),
+                    pa.array(column(t, "doc")[found]),
+                    pa.array(column(t, "line")[found]),
                     pa.array(at),
-                    pa.array(_column(t, "upto")[found] if dealt else at),
+                    pa.array(column(t, "upto")[found] if dealt else at),
                 ],
                 schema=pa.schema(fields),
             )
@@ -401,7 +378,7 @@ def _linked(values, starts, n, at, upto, side, percent: int) -> tuple[np.ndarray
     Member i has the tokens values[starts[i]:][:n[i]].  Long lists are taken in tiles of CELL members.
     """
     members = len(n)
-    tokens, owner = _expanded(values, starts, n)
+    tokens, owner = expanded(values, starts, n)
     begin = np.cumsum(n) - n
     early = np.arange(len(owner)) - begin[owner] < upto[owner]
     whole, before = _Sets(tokens, owner), _Sets(tokens[early], owner[early])
@@ -427,15 +404,9 @@ def _linked(values, starts, n, at, upto, side, percent: int) -> tuple[np.ndarray
     return links, first
 
 
-def _expanded(values, starts, n) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of some sets, and which set each is of."""
-    owner = np.repeat(np.arange(len(n)), n)
-    return values[np.arange(len(owner)) + np.repeat(starts - np.cumsum(n) + n, n)], owner
-
-
 def _pair_shared(values, a, na, b, nb) -> np.ndarray:
     """How many tokens the sets values[a[k]:][:na[k]] and values[b[k]:][:nb[k]] have in common, for each k."""
-    tokens, pair = (np.concatenate(x) for x in zip(_expanded(values, a, na), _expanded(values, b, nb), strict=True))
+    tokens, pair = (np.concatenate(x) for x in zip(expanded(values, a, na), expanded(values, b, nb), strict=True))
     short = pair.astype(np.uint64) << np.uint64(40) | tokens >> np.uint64(24)
     order = np.argsort(short)
     tokens, pair, short = tokens[order], pair[order], short[order]
@@ -480,8 +451,8 @@ def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fields = [("doc", pa.int64()), ("line", pa.int32()), ("n_links", pa.int64()), ("to_doc", pa.int64()), ("to_line", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            key, doc, line, at, upto, side = (_column(t, c) for c in ("key", "doc", "line", "at", "upto", "side"))
+        for t in whole_lists(batches):
+            key, doc, line, at, upto, side = (column(t, c) for c in ("key", "doc", "line", "at", "upto", "side"))
             lists = t.column("tokens").combine_chunks()
             values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
             rows = np.lexsort((upto, at, line, doc, key))

@@ -10,13 +10,16 @@
    each sketch ordered by the length of their lists, a linked pair meets in one of the first
    ``k - least_overlap + 1``.  Values with more than ``LONG`` classes make lists by pairs of
    values, of which a linked pair has one within one more place.
-4. Each list links its members to one hub, the member with the fewest rarer values.  Sizes
-   and places in the lists bound the overlap; the sketch of the union gives it and estimates;
-   the whole sets verify, with integer arithmetic.
-5. Lists whose members are by then in one component are done.  In the others, each member
-   outside the hub's component meets all members of other components, in the same way.  So
-   no link between components stays unseen, while the pairs inside a large group of copies
-   are never written out.
+4. Each list links its members to one hub, the member with the fewest rarer values.  Sizes,
+   places in the lists and a 128-bit map of each whole set, of the parities of the shingles on
+   each bit, bound the similarity; the sketch of the union gives the overlap and estimates; the
+   whole sets verify, with integer arithmetic.
+5. A sketch tells sets just below the threshold from linked ones only roughly, so that links
+   between the components found by then are sought with more precise lists: those of the
+   rarest shingles of whole sets (prefix filter).  In lists of several components, each member
+   outside the hub's component meets all members of other components; the bounds, the estimate
+   and the whole sets decide as before.  So no link between components stays unseen, while
+   the pairs inside a large group of copies are never written out.
 6. Components of the verified links.
 
 Defined results
@@ -30,8 +33,9 @@ Defined results
   and hashes of 64 bits may collide.
 
 Scale: texts are never shuffled.  Classes shuffle as sketches (0.5 KB each), and sets move
-only for classes in candidate pairs and pairs that the estimate passes.  Broadcast is a bitmap
-of ids (64 MB at most; false hits only cost work).
+only for classes that step 2 leaves and pairs that the estimate passes.  Broadcast are two
+tables of fixed size: a bitmap of ids (64 MB at most; false hits only cost work) and counts of
+shingles (4 MB; they only order the lists of step 5).
 """
 
 from __future__ import annotations
@@ -47,12 +51,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import cut, fresh, release, salted_join, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, table
 
 K = 64
 LOSS = 1e-9
 #: Lists longer than this are split by a second value.
 LONG = 512
+SLOTS = 1 << 20
 SALTS = 8
 #: Stands for a null id, which comes before all others.
 LOWEST = -(1 << 63)
@@ -78,6 +83,12 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def parities(s: np.ndarray) -> tuple[int, int]:
+    """A set's map: whether each of 128 bits is that of an odd number of its members, in two halves."""
+    one, high = np.uint64(1) << (s >> np.uint64(58)), s & np.uint64(1 << 57) != 0
+    return int(np.bitwise_xor.reduce(one[~high]).view(np.int64)), int(np.bitwise_xor.reduce(one[high]).view(np.int64))
+
+
 def overlap_floor(k: int, percent: int, loss: float = LOSS) -> int:
     """The most x with P(Binomial(k, percent/100) < x) <= loss."""
     p, total = percent / 100, 0.0
@@ -108,20 +119,22 @@ def may_be_linked(a: np.ndarray, b: np.ndarray, floor: int, percent: int) -> boo
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n, digest (null if n is 0) and sketch of each row."""
+    """doc_id, n, digest (null if n is 0), sketch and map of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, digest, sketch = [], [], []
+            n, digest, sketch, bits = [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, size)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketch.append(s[:K].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "sketch": sketch})
+                bits.append(parities(s))
+            low, high = zip(*bits, strict=True) if bits else ((), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "sketch": sketch, "low": np.array(low, np.int64), "high": np.array(high, np.int64)})
         release()
 
-    return _ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return _ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n long, digest binary, sketch array<long>, low long, high long")
 
 
 def _ids_and_texts(docs, id_col, text_col):
@@ -137,22 +150,23 @@ def _least_overlap(percent: int):
 
 
 def _entries(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class's places in the inverted lists of retained values: token (the list), at, node, n."""
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
+    """Each class's places in the inverted lists of retained values: token (the list), at, node, n and map."""
+    values = classes.select("node", F.explode("sketch").alias("value"))
     lists = values.groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
-    kept = values.join(lists, "value").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("many", "value"))).alias("v"))
+    kept = values.join(lists, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "value"))).alias("v"))
+    kept = kept.join(classes.select("node", "n", "low", "high"), "node")
     least = _least_overlap(percent)
     kept = kept.filter(F.size("v") >= least)
     # values that no other class retains are the rarest ones and make no list
     kept = kept.withColumn("own", F.least("n", F.lit(K)) - F.size("v")).withColumn("keep", F.least("n", F.lit(K)) - least + 1)
     long = LONG if percent > 50 else 1 << 62  # one common value may be enough: every value makes its own list
     kept = kept.withColumn("short", F.size(F.filter("v", lambda x: x["many"] <= long)))
-    first = kept.select("node", "n", "own", "keep", "short", "v", F.posexplode("v").alias("i", "x"))
+    first = kept.select("node", "n", "low", "high", "own", "keep", "short", "v", F.posexplode("v").alias("i", "x"))
     first = first.filter(F.col("own") + F.col("i") < F.col("keep"))
     at = (F.col("own") + F.col("i")).cast("int").alias("at")
-    alone = first.filter(F.col("i") < F.col("short")).select(F.col("x.value").alias("token"), at, "node", "n")
+    alone = first.filter(F.col("i") < F.col("short")).select(F.col("x.value").alias("token"), at, "node", "n", "low", "high")
     pairs = first.filter(F.col("i") >= F.col("short")).select("*", F.explode(F.expr("slice(v, i + 2, greatest(0, cast(keep - own - i as int)))")).alias("y"))
-    pairs = pairs.select(F.xxhash64("x.value", "y.value").alias("token"), at, "node", "n")
+    pairs = pairs.select(F.xxhash64("x.value", "y.value").alias("token"), at, "node", "n", "low", "high")
     return alone.union(pairs)
 
 
@@ -182,16 +196,57 @@ def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _can_meet(a: str, b: str, percent: int):
-    """Sizes and places of two entries of one list allow a link."""
+def _slot_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of SLOTS slots."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(_slot_of(np.concatenate([_as_set(x) for x in batch["set"]])), minlength=SLOTS)
+        yield from slot_blocks(total)
+
+    return merged_slots(sets.select("set").mapInPandas(run, SLOT_BLOCKS), SLOTS)
+
+
+def _rare_entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Each set's rarest shingles, as many as a linked pair needs to meet: token, at, node, n and map."""
+    held = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = held.value
+        for batch in batches:
+            parts = []
+            for node, raw in zip(batch["node"], batch["set"], strict=True):
+                s = _as_set(raw)
+                n = len(s)
+                at = np.arange(n - needed(n, percent) + 1)
+                first = np.lexsort((s, count[_slot_of(s)]))[: len(at)]
+                low, high = parities(s)
+                parts.append((s[first].view(np.int64), at, *[np.full(len(at), x) for x in (node, n, low, high)]))
+            if parts:
+                yield pd.DataFrame({k: np.concatenate(c) for k, c in zip(("token", "at", "node", "n", "low", "high"), zip(*parts, strict=True), strict=True)})
+
+    return sets.select("node", "set").mapInPandas(run, "token long, at int, node long, n long, low long, high long")
+
+
+def _can_meet(a: str, b: str, percent: int, whole: bool = False):
+    """Sizes, places and maps of two entries of one list allow a link; places are those in sketches or ``whole`` sets."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    room = F.least(F.least(na, F.lit(K)) - F.col(f"{a}.at"), F.least(nb, F.lit(K)) - F.col(f"{b}.at"))
-    least = F.least(F.ceil(F.greatest(na, nb) * percent / 100), F.lit(overlap_floor(K, percent)))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room >= least)
+    size = (lambda n: n) if whole else (lambda n: F.least(n, F.lit(K)))
+    room = F.least(size(na) - F.col(f"{a}.at"), size(nb) - F.col(f"{b}.at"))
+    floor = F.least(F.ceil(F.greatest(na, nb) * percent / 100), F.lit(overlap_floor(K, percent)))
+    enough = room * (100 + percent) >= percent * (na + nb) if whole else room >= floor
+    apart = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough & (apart * (100 + percent) <= (100 - percent) * (na + nb))
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    hubs = entries.groupBy("token").agg(F.min(F.struct("at", "node", "n")).alias("h"), F.count("*").alias("many"))
+    hubs = entries.groupBy("token").agg(F.min(F.struct("at", "node", "n", "low", "high")).alias("h"), F.count("*").alias("many"))
     hubs = hubs.filter("many > 1").select("token", "h.*")
     met = entries.alias("e").join(hubs.alias("h"), "token").filter(F.col("e.node") != F.col("h.node")).filter(_can_meet("e", "h", percent))
     return met.select(F.least("e.node", "h.node").alias("a"), F.greatest("e.node", "h.node").alias("b")).distinct()
@@ -212,7 +267,7 @@ def _rest_pairs(entries: DataFrame, comps: DataFrame, percent: int) -> DataFrame
     met = met.filter(
         (F.col("l.component") != F.col("r.component"))
         & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
-        & _can_meet("l", "r", percent)
+        & _can_meet("l", "r", percent, whole=True)
     )
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
@@ -251,13 +306,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a row: doc_id, n_shingles, component_id (least linked id), kept."""
     rows = cut(sketched(docs, id_col, text_col, size))
     classes = cut(
-        rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "sketch", "low", "high")])
     )
     entries = cut(_entries(classes, percent))
     sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), entries.select("node").distinct(), size))
     links = cut(_verified(_star_pairs(entries, percent), sets, percent))
     comps = components(links)
-    more = cut(_verified(cut(_rest_pairs(entries, comps, percent)), sets, percent))
+    rare = cut(_rare_entries(sets, _slot_counts(sets), percent))
+    more = cut(_verified(cut(_rest_pairs(rare, comps, percent)), sets, percent))
     of_class = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     if not more.isEmpty():
         of_class = _joined(of_class, comps, more)

@@ -115,3 +115,36 @@ def merged_slots(parts: DataFrame, slots: int) -> np.ndarray:
     for r in parts.repartition("block").mapInPandas(merge, SLOT_BLOCKS).toLocalIterator():
         out[r["block"]] = np.frombuffer(r["counts"], "<u4")
     return out.ravel()
+
+
+#: Rows of inverted lists that a task looks at together.
+TOGETHER = 100_000
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole lists, from rows that are sorted by ``key``."""
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            key = batch.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last or waiting[0].column("key")[0].as_py() != key[-1]:
+                yield pa.Table.from_batches([*waiting[:-1], batch.slice(0, last)])
+                waiting, rows = [batch.slice(last)], batch.num_rows - last
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def expanded(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All members of the sets values[starts[k]:][:n[k]], and which set each is of."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return values[np.arange(len(owner)) + np.repeat(starts - np.cumsum(n) + n, n)], owner
