@@ -15,10 +15,11 @@ Defined results
 * An empty table gives an empty report.
 * Extra columns are carried by ``drop_exact_copies`` and may have any name.
 
-Scale: the filter has 16 bits a row, 2**16 at least and 2**29 (64 MB) at most, so what is
-broadcast never exceeds 64 MB.  Beyond about 30 million rows a filter fills up and more
-single rows shuffle (their key only, never their text, in the report); results do not
-change.
+Scale: the filter has 16 bits a row, 2**16 at least and 2**31 (256 MB) at most, so what is
+broadcast never exceeds 256 MB.  Pass 1 shuffles the filter's positions that rows hit, summed a task
+(some 20 bytes a row), not the rows; no built-in function merges counting filters of tasks as
+bitmaps.  Beyond about 130 million rows the filter fills up and more single rows shuffle (their
+key only, never their text, in the report); results do not change.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import ascii_lower, cut, fresh
 
-MIN_BITS, MAX_BITS, BITS_PER_ROW = 1 << 16, 1 << 29, 16
+MIN_BITS, MAX_BITS, BITS_PER_ROW = 1 << 16, 1 << 31, 16
 #: A bitmap of SQL's bitmap functions covers so many positions.
 PAGE = 32768
 SALTS = 16
 
 
-def filter_bits(rows: int) -> int:
+def filter_bits(rows: int, most: int = MAX_BITS) -> int:
     bits = MIN_BITS
-    while bits < min(MAX_BITS, BITS_PER_ROW * rows):
+    while bits < min(most, BITS_PER_ROW * rows):
         bits *= 2
     return bits
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, table
+from lodestone.llm.shared import cut, fresh, table
 
 ORDERS = (3, 4, 5)
 SLOTS = 1 << 20
@@ -167,19 +167,18 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with lang_pred and score added (names after ``prefix``)."""
+    """``docs`` with lang_pred and score added (names after ``prefix``); columns of ``docs`` with these names go."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    at = f"{prefix}language"
-    return docs.withColumn(at, predict(F.col(f"`{text_col}`"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col(f"{at}.lang_pred").alias(f"{prefix}lang_pred"),
-        F.col(f"{at}.score").alias(f"{prefix}score"),
-    )
+    (at,) = fresh(docs, "language")
+    new = [f"{prefix}lang_pred", f"{prefix}score"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (n.lower() for n in new)]
+    found = docs.withColumn(at, predict(F.col(f"`{text_col}`")))
+    return found.select(*kept, F.col(f"{at}.lang_pred").alias(new[0]), F.col(f"{at}.score").alias(new[1]))
 
 
 def remainder(id_col: str, n: int) -> Column:

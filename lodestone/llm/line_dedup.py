@@ -68,6 +68,8 @@ PAIRS = 2_000_000
 FEW, PAIRS_AT_ONCE = 8, 20_000
 BUFFER = 1 << 20
 LOWEST = -(1 << 63)
+#: Bits of a bitmap of ids, at most.
+FILTER_BITS = 1 << 29
 WRAP = 1 << 40
 BASE = 0x9E3779B97F4A7C15
 #: The first so many bytes of eight.
@@ -307,7 +309,7 @@ def _hot_entries(classes: DataFrame, percent: int) -> DataFrame:
 def _line_sets(docs: DataFrame, members: DataFrame, rarity: np.ndarray) -> DataFrame:
     """doc, line, tokens (hashes, rarest first) of the lines that a bitmap of the members' lines holds."""
     lines = cut(members.select("doc", "line").distinct())
-    bits = filter_bits(lines.count())
+    bits = filter_bits(lines.count(), FILTER_BITS)
     slots = lines.select(F.pmod(F.pmod(F.col("doc"), F.lit(WRAP)) * 31 + F.col("line"), F.lit(bits)).alias("slot"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

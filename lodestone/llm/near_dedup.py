@@ -6,14 +6,12 @@
 2. Inverted lists of the retained values: of two linked texts, the least ``K`` values of the
    union hold almost surely at least ``least_overlap`` values of both sketches.  A class with
    fewer values that any other class retains has no link and leaves.
-3. Counting overlaps stops where they cannot reach that number any more: with the values of
-   each sketch ordered by the length of their lists, a linked pair meets in one of the first
-   ``k - least_overlap + 1``.  Values with more than ``LONG`` classes make lists by pairs of
-   values, of which a linked pair has one within one more place.
-4. Each list links its members to one hub, the member with the fewest rarer values.  Sizes,
-   places in the lists and a 128-bit map of each whole set, of the parities of the shingles on
-   each bit, bound the similarity; the sketch of the union gives the overlap and estimates; the
-   whole sets verify, with integer arithmetic.
+3. With the values of each sketch ordered by the length of their lists, a linked pair meets in
+   one of the first ``k - least_overlap + 1``.  Of these lists, one in ``LISTS`` (all of a set
+   smaller than its sketch) links its members to one hub, the member with the fewest rarer values.
+4. Sizes, places in the lists and a 128-bit map of each whole set, of the parities of the
+   shingles on each bit, bound the similarity; the sketch of the union gives the overlap and
+   estimates; the whole sets verify, with integer arithmetic.
 5. A sketch tells sets just below the threshold from linked ones only roughly, so that links
    between the components found by then are sought with more precise lists: those of the
    rarest shingles of whole sets (prefix filter).  In lists of several components, each member
@@ -51,16 +49,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, sweep, table
 
 K = 64
 LOSS = 1e-9
-#: Lists longer than this are split by a second value.
-LONG = 512
+#: One in so many lists of retained values links to hubs.
+LISTS = 4
 SLOTS = 1 << 20
 SALTS = 8
 #: Stands for a null id, which comes before all others.
 LOWEST = -(1 << 63)
+#: Bits of a bitmap of ids, at most.
+FILTER_BITS = 1 << 29
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -149,25 +149,19 @@ def _least_overlap(percent: int):
     return F.least(F.expr(f"({percent} * n + 99) div 100"), F.lit(overlap_floor(K, percent)))
 
 
-def _entries(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class's places in the inverted lists of retained values: token (the list), at, node, n and map."""
+def _entries(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes with enough retained values that another class retains too, and their places in the lists of those: token (the list), at, node, n and map."""
     values = classes.select("node", F.explode("sketch").alias("value"))
     lists = values.groupBy("value").agg(F.count("*").alias("many")).filter("many > 1")
     kept = values.join(lists, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "value"))).alias("v"))
     kept = kept.join(classes.select("node", "n", "low", "high"), "node")
     least = _least_overlap(percent)
-    kept = kept.filter(F.size("v") >= least)
+    kept = cut(kept.filter(F.size("v") >= least))
     # values that no other class retains are the rarest ones and make no list
     kept = kept.withColumn("own", F.least("n", F.lit(K)) - F.size("v")).withColumn("keep", F.least("n", F.lit(K)) - least + 1)
-    long = LONG if percent > 50 else 1 << 62  # one common value may be enough: every value makes its own list
-    kept = kept.withColumn("short", F.size(F.filter("v", lambda x: x["many"] <= long)))
-    first = kept.select("node", "n", "low", "high", "own", "keep", "short", "v", F.posexplode("v").alias("i", "x"))
-    first = first.filter(F.col("own") + F.col("i") < F.col("keep"))
-    at = (F.col("own") + F.col("i")).cast("int").alias("at")
-    alone = first.filter(F.col("i") < F.col("short")).select(F.col("x.value").alias("token"), at, "node", "n", "low", "high")
-    pairs = first.filter(F.col("i") >= F.col("short")).select("*", F.explode(F.expr("slice(v, i + 2, greatest(0, cast(keep - own - i as int)))")).alias("y"))
-    pairs = pairs.select(F.xxhash64("x.value", "y.value").alias("token"), at, "node", "n", "low", "high")
-    return alone.union(pairs)
+    first = kept.select("node", "n", "low", "high", "own", "keep", F.posexplode("v").alias("i", "x"))
+    first = first.filter((F.col("own") + F.col("i") < F.col("keep")) & ((F.col("n") < K) | (F.pmod(F.xxhash64("x.value"), F.lit(LISTS)) == 0)))
+    return kept.select("node"), first.select(F.col("x.value").alias("token"), (F.col("own") + F.col("i")).cast("int").alias("at"), "node", "n", "low", "high")
 
 
 def _slot(name: str, bits: int):
@@ -176,7 +170,7 @@ def _slot(name: str, bits: int):
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node, set (sorted hashes, as bytes) and sketch of the rows whose id is in a bitmap of the nodes."""
-    bits = filter_bits(nodes.count())
+    bits = filter_bits(nodes.count(), FILTER_BITS)
     slots = nodes.select(_slot("node", bits).alias("slot")).distinct()
     pages = slots.groupBy(F.expr(f"slot div {PAGE}").alias("page")).agg(F.expr(f"bitmap_construct_agg(slot % {PAGE})").alias("bits"))
     at = _slot("doc_id", bits)
@@ -308,10 +302,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "sketch", "low", "high")])
     )
-    entries = cut(_entries(classes, percent))
-    sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), entries.select("node").distinct(), size))
+    nodes, entries = _entries(classes, percent)
+    sweep(docs.sparkSession)
+    sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), nodes, size))
     links = cut(_verified(_star_pairs(entries, percent), sets, percent))
     comps = components(links)
+    sweep(docs.sparkSession)
     rare = cut(_rare_entries(sets, _slot_counts(sets), percent))
     more = cut(_verified(cut(_rest_pairs(rare, comps, percent)), sets, percent))
     of_class = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -333,7 +329,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     page, bitmap, slot, hit, gone_id = fresh(docs, "page", "bits", "slot", "hit", "gone")
     gone = cut(near_components(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias(gone_id)))
-    bits = filter_bits(gone.count())
+    bits = filter_bits(gone.count(), FILTER_BITS)
     slots = gone.select(_slot(gone_id, bits).alias(slot)).distinct()
     pages = slots.groupBy(F.expr(f"{slot} div {PAGE}").alias(page)).agg(F.expr(f"bitmap_construct_agg({slot} % {PAGE})").alias(bitmap))
     rows = docs.withColumn(slot, _slot(f"`{id_col}`", bits)).join(F.broadcast(pages), F.floor(F.col(slot) / PAGE) == F.col(page), "left")

@@ -31,12 +31,17 @@ def ascii_lower(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset (tests, local
-    sessions) a temporary one is made.
+    The session's ``spark.checkpoint.dir`` names it; only a local session may do without, and
+    gets a temporary one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

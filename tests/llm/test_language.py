@@ -80,3 +80,34 @@ def test_more_than_64_languages(spark):
     filters = language.fit(frame(spark, rows), "doc_id", "text", "lang")
     found = language.identify(frame(spark, rows), filters).collect()
     assert len(found) == 140 and all(r["lang_pred"] == f"l{r['doc_id'] // 100:02}" for r in found)
+
+
+def test_columns_with_the_names_of_its_own(spark):
+    filters = language.fit(frame(spark, corpus(100)), "doc_id", "text", "lang")
+    docs = frame(spark, messy_rows(n=20)).selectExpr("*", "'x' AS language", "1 AS score", "'y' AS lang_pred", "2 AS __language")
+    found = language.identify(docs, filters)
+    assert found.columns == [c for c in docs.columns if c not in ("score", "lang_pred")] + ["lang_pred", "score"]
+    assert {r["language"] for r in found.collect()} == {"x"} and all(0 <= r["score"] <= 1 for r in found.collect())
+
+
+def test_shares_equal_exact_sets(spark):
+    """The corrected shares of the filters against sets of n-grams, which have no false positives."""
+    rows = corpus(300)
+    filters = language.fit(frame(spark, rows), "doc_id", "text", "lang")
+    texts = {}
+    for r in rows:
+        if r[1] and r[2]:
+            texts.setdefault(r[2], []).append(set(language.ngrams(r[1])[0].tolist()))
+    sets = []
+    for lang in filters.languages:
+        count = {}
+        for grams in texts[lang]:
+            for g in grams:
+                count[g] = count.get(g, 0) + 1
+        n = len(texts[lang])
+        sets.append({g for g, c in count.items() if c >= max(min(2, n), round(language.MIN_SHARE * n))})
+    for r in rows[:60]:
+        hashes, some = language.ngrams(r[1] or "")
+        if some and len(hashes):
+            want = [sum(h in s for h in hashes.tolist()) / len(hashes) for s in sets]
+            assert np.allclose(filters.shares(hashes), want, atol=0.02)

@@ -49,9 +49,9 @@ def near_cluster(seed=6, n=150, length=150):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "long"), [(3, 85, 512), (5, 80, 512), (5, 80, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, size, percent, long):
-    monkeypatch.setattr(nd, "LONG", long)
+@pytest.mark.parametrize(("size", "percent", "lists"), [(3, 85, 4), (5, 80, 1), (5, 80, 1000)])
+def test_components_equal_brute_force(spark, monkeypatch, size, percent, lists):
+    monkeypatch.setattr(nd, "LISTS", lists)
     rows = messy_rows(n=80) + near_cluster()
     found = nd.near_components(frame(spark, rows), size=size, percent=percent).collect()
     want = brute(rows, size, percent)

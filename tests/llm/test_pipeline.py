@@ -66,3 +66,21 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     folder = write_tables(spark, tmp_path, messy_rows(n=50), [(0, 1, 0), (3, 1, 1)])
     found = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 0
+
+
+def test_empty_documents_and_labels(spark, tmp_path):
+    folder = write_tables(spark, tmp_path, [])
+    found = corpus_pipeline.run(spark, folder)
+    assert found.count() == 0 and "sequence_id" in found.columns
+
+
+def test_stages_keep_columns_with_the_names_of_their_own(spark, tmp_path):
+    toxic_rows, labels = labelled(60)
+    rows = messy_rows(n=40) + [(10_000 + r[0], *r[1:], *[None] * 5) for r in toxic_rows]
+    folder = write_tables(spark, tmp_path, rows, [(10_000 + i, q, t) for i, q, t in labels])
+    more = ("score", "gone", "sha", "__sha", "repeated", "bits", "page", "slot", "draws", "taken", "target", "size", "component_id", "kept")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"'{c}' AS {c}" for c in more])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns, name
+        assert all(r[c] == c for r in found.collect() for c in more), name
