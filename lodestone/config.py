@@ -45,11 +45,13 @@ FAILURE_ROWS = 12
 
 # Stopwords dropped by the tokeniser.
 STOPWORDS = (
-    "a an and any are as at be been but by can did do does for from get had has have how i if in into is it its me my "
-    "not of on or our out should so some than that the their them then there these they this to up us was we were what "
-    "when where which who why will with would you your"
-).split()
+    "a", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do",
+    "does", "for", "from", "get", "had", "has", "have", "how", "i", "if", "in", "into", "is", "it",
+    "its", "me", "my", "not", "of", "on", "or", "our", "out", "should", "so", "some", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "us", "was", "we", "were",
+    "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
 
 # Document files that count, by stem (case-insensitive) and by extension.
-DOC_STEMS = "readme changelog changes contributing install usage faq news history license authors".split()
+DOC_STEMS = ("readme", "changelog", "changes", "contributing", "install", "usage", "faq", "news", "history", "license", "authors")
 DOC_EXTENSIONS = (".md", ".markdown", ".rst", ".txt")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.config import STOPWORDS
 
+# The patterns below define the terms, routes and citations that results are made of.
 WORD = "[A-Za-z0-9_]+"
 #: Upper-case runs, capitalised parts, lower-case and digit runs of an identifier.
 PART = "[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
@@ -37,6 +41,33 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.flatten(full), lambda t: ~F.array_contains(stop, t))
 
 
+class TermCounter:
+    """Counts a text's index terms as ``tokenize`` lists them; each distinct word is taken apart once."""
+
+    CACHE_WORDS = 200_000
+
+    def __init__(self):
+        self.words, self.parts, self.stop = re.compile(WORD), re.compile(PART), frozenset(STOPWORDS)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def terms(self, word: str) -> tuple[str, ...]:
+        parts = [p.lower() for p in self.parts.findall(word)]
+        if len(parts) > 1:
+            parts.insert(0, "".join(parts))
+        if len(self.known) >= self.CACHE_WORDS:
+            self.known.clear()
+        found = self.known[word] = tuple(p for p in parts if p not in self.stop)
+        return found
+
+    def __call__(self, text: str | None) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for word, times in Counter(self.words.findall(text or "")).items():
+            terms = self.known.get(word)
+            for term in self.terms(word) if terms is None else terms:
+                found[term] = found.get(term, 0) + times
+        return found
+
+
 def mentions_identifier(question: Column) -> Column:
     return F.coalesce(question, F.lit("")).rlike("(?U)" + IDENTIFIER)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.config import MAX_ATTEMPTS, MIN_ANSWER_CHARS, PROMPT_CHUNK_CHARS, QUERY_CHARS
 from lodestone.functions.text import basename, citation_end, citation_file, citation_start, citations
 from lodestone.lineage import cut
+from lodestone.operators.prompts import retry_note
 
 NO_EVIDENCE, NO_CITATIONS, FABRICATED, CRITIC = "no_evidence", "no_citations", "fabricated", "critic"
 #: How bad a failed attempt is, worst last.
@@ -144,21 +145,20 @@ def evidence_pack(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n").alias("context"), F.count("*").alias("excerpts"))
 
 
-def user_prompt(question: Column, context: Column, excerpts: Column) -> Column:
-    """Evidence first, the question last."""
-    lead = F.concat(excerpts.cast("string"), F.lit(" excerpts of the code, most relevant first:\n\n"))
-    return F.concat(lead, context, F.lit("\n\n---\n\nQuestion: "), question)
-
-
 def run_agent(questions: DataFrame, retrieve, generate, critic=None, key: str = "query_id") -> DataFrame:
     """Answers a batch of questions in at most MAX_ATTEMPTS passes; the answered ones leave after each pass.
 
     ``retrieve(rows)``: (key, query) to (key, id, rank, file, start, end, block).  ``generate(rows)``:
-    (key, question, context, note) adds ``answer``.  ``critic(rows)`` adds ``reply``; without it what
-    passes the mechanical rules counts as grounded.  Each pass is written to the checkpoint folder, so that no
-    model is called again for rows that are done.  Returns key, answer, kind, grounded, attempts.
+    (key, question, context, note, retry) adds ``answer`` and may add input_tokens and output_tokens; ``note``
+    is what was wrong with the last attempt, ``retry`` the text that tells the model.  ``critic(rows)`` adds
+    ``reply``; without it what passes the mechanical rules counts as grounded.  Each pass is written to
+    the checkpoint folder, so that no model is called again for rows that are done.
+
+    Returns key, answer, kind, grounded (of the last critique, even where an earlier answer is given),
+    attempts, unsupported (of the last critique), tokens summed over attempts, and the trace: (attempt,
+    query, kind, reason, answer) of each attempt.
     """
-    active = questions.select(key, "question", F.col("question").alias("query"), F.lit("").alias("note"))
+    active = questions.select(key, "question", F.col("question").alias("query"), F.lit("").alias("note"), F.lit("").alias("retry"))
     seen = done = None
     for attempt in range(1, MAX_ATTEMPTS + 1):
         searched = active.filter("query <> ''")
@@ -172,6 +172,9 @@ def run_agent(questions: DataFrame, retrieve, generate, critic=None, key: str =
         )
         rows = active.join(context, key, "left").fillna({"evidence": 0, "context": ""})
         answered = generate(rows).withColumn("cited", citations(F.col("answer")))
+        for tokens in ("input_tokens", "output_tokens"):
+            if tokens not in answered.columns:
+                answered = answered.withColumn(tokens, F.lit(0))
         missing = unsupported_citations(cited_ranges(answered, key, "answer"), evidence, key)
         missing = missing.groupBy(key).agg(F.sort_array(F.collect_list("citation")).alias("unsupported"))
         named = F.exists(F.coalesce("files", F.array().cast("array<string>")), lambda f: names_file(F.col("answer"), f))
@@ -185,15 +188,23 @@ def run_agent(questions: DataFrame, retrieve, generate, critic=None, key: str =
             asked = critic(asked)
             passed = asked.withColumns(parse_critic(F.col("reply"))).drop("reply")
         now = mechanical.unionByName(passed, allowMissingColumns=True).withColumn("attempt", F.lit(attempt))
-        keep = [key, "question", "answer", "kind", "grounded", "attempt", "followup", "evidence"]
+        keep = [key, "question", "query", "answer", "kind", "reason", "grounded", "attempt", "followup", "evidence", "unsupported", "input_tokens", "output_tokens"]
         now = cut(now.select(*keep))
         done = now if done is None else done.unionByName(now)
         tried = done.groupBy(key).agg(F.sum((F.col("kind") == NO_CITATIONS).cast("int")).alias("uncited"))
         choice = now.join(tried, key).withColumns({"attempts": F.col("attempt"), "queries": F.lit(1)}).withColumn("next", decision())
         follow = F.when(F.col("followup") == "", F.col("question")).otherwise(F.col("followup"))
         query = F.when(F.col("next") == "search", follow).otherwise("")
-        active = cut(choice.filter("next <> 'end'").select(key, "question", query.alias("query"), F.col("kind").alias("note")))
+        active = cut(choice.filter("next <> 'end'").select(key, "question", query.alias("query"), F.col("kind").alias("note"), retry_note(F.col("kind"), F.col("reason")).alias("retry")))
         if active.isEmpty():
             break
-    last = done.groupBy(key).agg(F.max("attempt").alias("attempts"), F.max_by("grounded", "attempt").alias("grounded"))
+    steps = F.array_sort(F.collect_list(F.struct("attempt", "query", "kind", "reason", "answer")))
+    last = done.groupBy(key).agg(
+        F.max("attempt").alias("attempts"),
+        F.max_by("grounded", "attempt").alias("grounded"),
+        F.max_by("unsupported", "attempt").alias("unsupported"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        steps.alias("trace"),
+    )
     return least_bad(done, key).select(key, "answer", "kind").join(last, key)

@@ -1,59 +1,93 @@
-"""Keyword index and ranking: term statistics and BM25 top-k for a batch of questions."""
+"""Keyword index and ranking: postings, term statistics and BM25 top-k for a batch of questions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import BM25_B, BM25_IDF_FLOOR, BM25_K1
-from lodestone.functions.text import tokenize
+from lodestone.functions.text import TermCounter
+from lodestone.lineage import cut
+
+
+def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, length (number of terms), terms (term, tf), one row a document.
+
+    One scan without a shuffle: a document's terms are counted where it is read, the parts of an
+    identifier once for each distinct word of a task.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TermCounter()
+        for batch in batches:
+            lengths, ends, terms, times = [], [0], [], []
+            for text in batch.column("text").to_pylist():
+                found = count(text)
+                lengths.append(sum(found.values()))
+                terms.extend(found)
+                times.extend(found.values())
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(times, pa.int32())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["id", "length", "terms"]
+            )
 
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, length int, terms array<struct<term:string,tf:int>>")
 
-def tokens_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, terms (with repeats) and their number."""
-    terms = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
-    return terms.withColumn("length", F.size("terms"))
 
+@dataclass(frozen=True)
+class KeywordIndex:
+    """postings (id, length, term, tf), terms (term, df, idf), stats (docs, mean_length; one row)."""
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """id, term, tf."""
-    return tokens.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
 
-def document_frequency(tokens: DataFrame) -> DataFrame:
-    """term, df; a document counts once, so terms are made distinct before they shuffle."""
-    return tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def postings(table: DataFrame) -> DataFrame:
+    """id, length, term, tf of a term table."""
+    return table.select("id", "length", F.explode("terms").alias("t")).select("id", "length", "t.term", "t.tf")
 
 
-def corpus_stats(tokens: DataFrame) -> DataFrame:
+def corpus_stats(table: DataFrame) -> DataFrame:
     """One row: number of documents and mean length."""
-    return tokens.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
+    return table.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
 
 
-def term_stats(tokens: DataFrame) -> DataFrame:
+def term_stats(found: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf: terms in more than half of the documents get a share of the mean idf instead."""
-    df, size = document_frequency(tokens), corpus_stats(tokens)
-    raw = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(stats)).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     floor = BM25_IDF_FLOOR * F.col("mean_idf")
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(tokens: DataFrame, questions: DataFrame, question_id: str, question_text: str) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> KeywordIndex:
+    """The index of a table of documents; texts are tokenised once, and what is read more than once is kept."""
+    table = cut(term_table(docs, id_col, text_col))
+    found = postings(table)
+    stats = corpus_stats(table)
+    return KeywordIndex(found, cut(term_stats(found, stats)), stats)
+
+
+def bm25_scores(index: KeywordIndex, questions: DataFrame, question_id: str, question_text: str) -> DataFrame:
     """query_id, id, score for every document that shares a term with the question.
 
-    Only postings of the questions' terms leave the scan; the question terms are a batch of
-    questions, small against the corpus, and the optimizer decides by their size how to join.
+    Only postings of the questions' terms go on; these are a batch of questions, small against the
+    corpus, and the optimizer decides by their size how to join.
     """
-    asked = questions.select(F.col(question_id).alias("query_id"), F.explode(tokenize(F.col(question_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights = asked.join(term_stats(tokens), "term")
-    wanted = asked.select("term").distinct()
-    hits = tokens.select("id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    hits = hits.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    scored = hits.join(weights, "term").join(F.broadcast(corpus_stats(tokens)))
+    asked = postings(term_table(questions, question_id, question_text)).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("times"))
+    weights = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    scored = index.postings.join(weights, "term").join(F.broadcast(index.stats))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
+    part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -63,7 +97,7 @@ def ranked(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(tokens: DataFrame, questions: DataFrame, question_id: str, question_text: str, k: int) -> DataFrame:
+def bm25_topk(index: KeywordIndex, questions: DataFrame, question_id: str, question_text: str, k: int) -> DataFrame:
     """query_id, id, score, rank: best first, ties in corpus order; cut to k, then positive scores only."""
-    scores = bm25_scores(tokens, questions, question_id, question_text)
+    scores = bm25_scores(index, questions, question_id, question_text)
     return ranked(scores, k, F.desc("score"), F.asc("id")).filter("score > 0")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,40 @@ def document_text(path: Column, language: Column, kind: Column, symbol: Column,
     return F.concat(path, F.lit("\n"), F.concat_ws(" ", language, kind, symbol), F.lit("\n\n"), code)
 
 
+#: What is put before a question, so that its vector is one of a query.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+EMBED_BATCH = 64
+
+
+@lru_cache(2)
+def _model(load: Callable):
+    """A loaded model, once a worker; the last two stay."""
+    return load()
+
+
+def embedder(load: Callable[[], Callable], text_col: str = "document", batch: int = EMBED_BATCH, prefix: str = "") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``vector``, of length 1, to rows with a text.
+
+    ``load()`` gives a function from texts to a matrix; it runs on the workers, which load it at its first use.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for lo in range(0, len(texts), batch):
+                rows = np.asarray(_model(load)([prefix + (t or "") for t in texts.iloc[lo : lo + batch]]), np.float32)
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                out += list(np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0))
+            yield pd.Series(out, dtype=object)
+
+    vectors = F.pandas_udf(run, "array<float>")
+    return lambda rows: rows.withColumn("vector", vectors(F.col(text_col)))
+
+
+def query_embedder(load: Callable[[], Callable], text_col: str = "question") -> Callable[[DataFrame], DataFrame]:
+    return embedder(load, text_col, prefix=QUERY_PREFIX)
+
+
 def chunk_id(path: Column, start: Column, end: Column, part: Column) -> Column:
     return F.format_string("%s:%d-%d#%d", path, start, end, part)
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.lineage import cut
 from lodestone.operators import bm25
 from lodestone.operators import index_build as ib
-from lodestone.sources.files import read_or_empty, write_table
+from lodestone.operators.chunking import CHUNK_SCHEMA
+from lodestone.operators.ingest import ingest
+from lodestone.operators.retrieval import Index
+from lodestone.sources.files import current_version, read_or_empty, scan_tree, write_version
 
 CACHE = "key string, model string, vector array<float>"
 VECTORS = "chunk_id string, model string, vector array<float>"
@@ -37,16 +40,19 @@ def with_keys(chunks: DataFrame, model: str) -> DataFrame:
     return ib.first_wins(rows, ["chunk_id"], ["file_path", "start_line", "symbol"])
 
 
-def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str, embed) -> IndexStats:
+def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str, embed, dimension: int | None = None) -> IndexStats:
     """(Re)builds the tables under ``folder``.  ``embed(rows)`` adds ``vector`` to rows with ``document``.
 
-    Texts that the cache has under this model are not embedded again; vectors of chunks that are gone
-    are pruned; a vector table of another model is dropped.  A build that finds no chunk while the index
-    has some keeps the index.
+    Texts that the cache has under this model (and of this dimension) are not embedded again; vectors of
+    chunks that are gone are pruned; those of another model are dropped.  A build that finds no chunk while
+    the index has some keeps the index.  The tables are published together, see ``write_version``.
     """
     new = cut(with_keys(chunks, model))
-    old = read_or_empty(spark, f"{folder}/vectors", VECTORS).filter(F.col("model") == model)
-    cache = read_or_empty(spark, f"{folder}/cache", CACHE).filter(F.col("model") == model)
+    there = current_version(spark, folder) or f"{folder}/none"
+    old = read_or_empty(spark, f"{there}/vectors", VECTORS).filter(F.col("model") == model)
+    cache = read_or_empty(spark, f"{there}/cache", CACHE).filter(F.col("model") == model)
+    if dimension is not None:
+        cache = cache.filter(F.size("vector") == dimension)
     total = new.count()
     if total == 0 and not old.isEmpty():
         return IndexStats(0, 0, 0, 0, 0.0)
@@ -55,21 +61,40 @@ def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str,
     full = cut(full.withColumn("model", F.lit(model)).select("key", "model", "vector"))
     vectors = new.join(full, "key").select("chunk_id", "model", "vector")
     pruned = ib.stale(old, new, "chunk_id").count()
-    vectors = cut(vectors)
-    tokens = bm25.tokens_of(new, "chunk_id", "document")
-    write_table(full, f"{folder}/cache")
-    write_table(vectors, f"{folder}/vectors")
-    write_table(new.drop("key"), f"{folder}/chunks")
-    write_table(bm25.postings(tokens), f"{folder}/postings")
-    write_table(bm25.term_stats(tokens), f"{folder}/terms")
+    keyword = bm25.build_index(new, "chunk_id", "document")
+    by_term = keyword.postings.repartitionByRange("term").sortWithinPartitions("term")  # a term's postings lie together
+    tables = {"cache": full, "vectors": vectors, "chunks": new.drop("key"), "postings": by_term, "terms": keyword.terms, "stats": keyword.stats}
+    write_version(spark, folder, tables)
     return IndexStats(total, stats["computed"], stats["cached"], pruned, stats["hit_rate"])
 
 
-def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of an index; MissingIndexError where there is none."""
-    from pyspark.errors import AnalysisException
+def index_tree(spark: SparkSession, root: str, folder: str, model: str, embed) -> IndexStats:
+    """A repository's tree into both indexes: scan, chunks of code and documents, vectors, postings."""
+    return build_index(spark, ingest(scan_tree(spark, root)), folder, model, embed)
+
+
+TABLES = {
+    "chunks": f"{CHUNK_SCHEMA}, chunk_id string, document string",
+    "vectors": VECTORS,
+    "postings": "id string, length int, term string, tf int",
+    "terms": "term string, df long, idf double",
+    "stats": "docs long, mean_length double",
+}
 
-    try:
-        return {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "vectors", "postings", "terms")}
-    except AnalysisException as e:
-        raise MissingIndexError(folder) from e
+
+def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an index; MissingIndexError where there is none.  Tables that cannot be read are empty."""
+    there = current_version(spark, folder)
+    if there is None:
+        raise MissingIndexError(folder)
+    return {name: read_or_empty(spark, f"{there}/{name}", schema) for name, schema in TABLES.items()}
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """A stored index as the retrievers read it: stored postings and terms rank, nothing is tokenised again."""
+    tables = load_index(spark, folder)
+    keyword = bm25.KeywordIndex(tables["postings"], tables["terms"], tables["stats"])
+    chunks = tables["chunks"]
+    # rerankers see a chunk without its language
+    text = F.concat(F.col("file_path"), F.lit("\n"), F.concat_ws(" ", "kind", "symbol"), F.lit("\n"), F.col("code"))
+    return Index(keyword, tables["vectors"].select(F.col("chunk_id").alias("id"), "vector"), chunks.select(F.col("chunk_id").alias("id"), text.alias("text")))

@@ -95,6 +95,19 @@ def enclosing(gaps: DataFrame, extents: DataFrame, key: str) -> DataFrame:
     )
 
 
+def inside_path(path: Column) -> Column:
+    """A relative path without its dots, null if it is absolute or leads out of the root."""
+    steps = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    up = F.aggregate(
+        steps,
+        F.struct(F.array().cast("array<string>").alias("at"), F.lit(True).alias("ok")),
+        lambda a, p: F.when(p != "..", F.struct(F.concat(a["at"], F.array(p)).alias("at"), a["ok"].alias("ok"))).otherwise(
+            F.struct(F.slice(a["at"], F.lit(1), F.greatest(F.size(a["at"]) - 1, F.lit(0))).alias("at"), (a["ok"] & (F.size(a["at"]) > 0)).alias("ok"))
+        ),
+    )
+    return F.when(~F.startswith(path, F.lit("/")) & up["ok"] & (F.size(up["at"]) > 0), F.array_join(up["at"], "/"))
+
+
 def excerpt(files: DataFrame, key: str, lines: Column, start: Column, end: Column, cap: int) -> DataFrame:
     """Lines start..end (from 1, inclusive, clamped) of each file, ``cap`` at most: text, start_line, end_line, truncated."""
     rows = files.withColumn("all", lines).withColumn("n", F.size("all"))

@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from lodestone.config import FAILURE_ROWS
 
 
-def matched(results: DataFrame, gold: DataFrame, on: list[str]) -> DataFrame:
+def matched(results: DataFrame, gold: DataFrame, on: list[str], by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Every answer of every question with the first position of a result that matches it, null if none does.
 
-    ``results``: query_id, position, and the columns ``on``; ``gold``: query_id, answer_id, and ``on``.
+    ``results``: position, and the columns ``by`` and ``on``; ``gold``: answer_id, and the same.
     """
-    first = results.groupBy("query_id", *on).agg(F.min("position").alias("position"))
-    return gold.join(first, ["query_id", *on], "left").groupBy("query_id", "answer_id").agg(F.min("position").alias("position"))
+    first = results.groupBy(*by, *on).agg(F.min("position").alias("position"))
+    return gold.join(first, [*by, *on], "left").groupBy(*by, "answer_id").agg(F.min("position").alias("position"))
 
 
-def question_metrics(answers: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
-    """Per question: recall_k and hit_k for each cutoff, and rr."""
+def question_metrics(answers: DataFrame, cutoffs: tuple[int, ...], by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Per question (and whatever else ``by`` names): recall_k and hit_k for each cutoff, and rr."""
     total = F.countDistinct("answer_id")
     cols = []
     for k in cutoffs:
         found = F.countDistinct(F.when(F.col("position") <= k, F.col("answer_id")))
         cols += [(found / total).alias(f"recall_{k}"), F.coalesce(F.max(F.col("position") <= k), F.lit(False)).alias(f"hit_{k}")]
-    return answers.groupBy("query_id").agg(*cols, F.coalesce(1 / F.min("position"), F.lit(0.0)).alias("rr"))
+    return answers.groupBy(*by).agg(*cols, F.coalesce(1 / F.min("position"), F.lit(0.0)).alias("rr"))
+
+
+def score_table(outcomes: DataFrame, cutoffs: tuple[int, ...], retriever: str = "retriever") -> DataFrame:
+    """Each retriever's mean recalls and reciprocal rank: per split over all, each style and each repository.
+
+    ``outcomes``: one row a retriever and question, with split, style, repo, recall_k and rr.
+    """
+    sets = [[retriever, "split"], [retriever, "split", "style"], [retriever, "split", "repo"]]
+    means = {f"recall_{k}": mean_or_zero(F.col(f"recall_{k}")) for k in cutoffs} | {"mrr": mean_or_zero(F.col("rr"))}
+    return slice_report(outcomes, sets, {"questions": F.count("*")} | means)
 
 
 def mean_or_zero(value: Column) -> Column:

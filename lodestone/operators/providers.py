@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import RETRIEVAL_DEPTH
+from lodestone.operators.prompts import NO_CONTEXT, question_turn
 
 VERDICTS = {"correct": 1.0, "partial": 0.5, "incorrect": 0.0}
-NO_CONTEXT = "Nothing in the index answers that question."
 
 
 def complete(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], into: str = "answer", batch: int = 64) -> DataFrame:
@@ -43,18 +44,35 @@ def scripted(replies: dict[str, str], default: str = "") -> Callable[[list[str]]
 PROVIDERS: dict[str, Callable] = {"echo": lambda: echo, "scripted": scripted}
 
 
+#: Variables that hold the credentials of providers which need some.
+CREDENTIALS: dict[str, str] = {}
+
+
+def has_credentials(name: str) -> bool:
+    return name not in CREDENTIALS or bool(os.environ.get(CREDENTIALS[name]))
+
+
+def register_provider(name: str, build: Callable, credential: str | None = None) -> None:
+    """Adds a provider: ``build(*args)`` gives a function from prompts to replies."""
+    PROVIDERS[name] = build
+    if credential:
+        CREDENTIALS[name] = credential
+
+
 def get_provider(name: str, *args):
     if name not in PROVIDERS:
         raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(PROVIDERS))}")
+    if not has_credentials(name):
+        raise ValueError(f"provider {name!r} needs {CREDENTIALS[name]} to be set")
     return PROVIDERS[name](*args)
 
 
 def answer_questions(questions: DataFrame, evidence: DataFrame, model, key: str = "query_id") -> DataFrame:
     """Plain answers: one prompt of a question's excerpts (key, rank, place, kind, symbol, language, code); no evidence, no call."""
-    from lodestone.operators.agent import evidence_pack, user_prompt
+    from lodestone.operators.agent import evidence_pack
 
     packed = questions.join(evidence_pack(evidence, key), key, "left")
-    asked = packed.filter("excerpts > 0").withColumn("prompt", user_prompt(F.col("question"), F.col("context"), F.col("excerpts")))
+    asked = packed.filter("excerpts > 0").withColumn("prompt", question_turn(F.col("question"), F.col("context"), F.col("excerpts")))
     answered = complete(asked, "prompt", model).select(key, "answer", "excerpts")
     silent = packed.filter("excerpts IS NULL").select(key, F.lit(NO_CONTEXT).alias("answer"), F.lit(0).cast("long").alias("excerpts"))
     return answered.unionByName(silent)

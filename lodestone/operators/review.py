@@ -13,9 +13,10 @@ NAME = "[A-Za-z_][A-Za-z0-9_]{2,}"
 
 # Words of programming languages that name nothing of a program.
 STOP_NAMES = (
-    "and assert async await break class continue def del elif else except false finally for from global import lambda none "
-    "nonlocal not pass raise return self true try while with yield int str bool float list dict set tuple bytes"
-).split()
+    "and", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "false", "finally",
+    "for", "from", "global", "import", "lambda", "none", "nonlocal", "not", "pass", "raise", "return", "self", "true", "try",
+    "while", "with", "yield", "int", "str", "bool", "float", "list", "dict", "set", "tuple", "bytes",
+)
 
 
 def side_path(text: Column) -> Column:
@@ -119,6 +120,36 @@ def render_line(kind: Column, text: Column, number: Column) -> Column:
     return F.format_string("%5s %s%s", F.coalesce(number.cast("string"), F.lit("")), mark, text)
 
 
+def render_hunks(lines: DataFrame, key: str = "diff_id") -> DataFrame:
+    """key, hunk_no, diff: each hunk as a diff shows it, with the new file's line numbers."""
+    shown = render_line(F.col("kind"), F.col("text"), F.col("new_line"))
+    rows = F.array_sort(F.collect_list(F.struct("seq", shown.alias("r"))))
+    lo, hi = (F.coalesce(f("new_line"), F.first("new_start")) for f in (F.min, F.max))
+    body = lines.groupBy(key, "hunk_no", "path").agg(F.transform(rows, lambda x: x["r"]).alias("rows"), lo.alias("lo"), hi.alias("hi"))
+    head = F.format_string("@@ %s lines %d-%d @@", "path", "lo", "hi")
+    return body.select(key, "hunk_no", F.concat_ws("\n", head, F.array_join("rows", "\n")).alias("diff"))
+
+
+def is_rename(path: Column, old_path: Column, is_new: Column, is_deleted: Column) -> Column:
+    """The file had another name before."""
+    return old_path.isNotNull() & (old_path != path) & ~is_new & ~is_deleted
+
+
+def skipped_files(lines: DataFrame, key: str = "diff_id") -> DataFrame:
+    """key, text: files whose hunks are not reviewed, and why."""
+    why = F.when(F.col("is_binary"), "binary").when(F.col("is_deleted"), "deleted")
+    return lines.filter("is_binary OR is_deleted").select(key, F.concat("path", F.lit(": "), why).alias("text")).distinct()
+
+
+def read_diffs(spark, path: str, key: str = "diff_id") -> DataFrame:
+    """key (the file's path), text of diff files; an empty diff is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(key), F.col("value").alias("text"))
+    empty = rows.filter(~F.col("text").rlike(r"\S")).first()
+    if empty is not None or rows.isEmpty():
+        raise ValueError(f"no diff in {empty[key] if empty is not None else path}")
+    return rows
+
+
 def parse_comments(replies: DataFrame, keys: list[str]) -> DataFrame:
     """Comments of model replies (text, path, low, high, anchor): keys, ord, path, line, severity, message, problem.
 

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Queries that are multiplied with a batch of rows at once.
+BLOCK = 1024
+#: Bytes of query vectors that one scan of the rows answers; more queries take more scans.
+SCAN_BYTES = 256 << 20
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -17,51 +20,75 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) of the k best rows of each query, of equal scores those with the least ids."""
+    if len(ids) > k:
+        least = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
+        query, row = np.nonzero((scores >= least).T)
+    else:
+        query, row = np.divmod(np.arange(scores.size), len(ids))
+    order = np.lexsort((ids[row], -scores[row, query], query))
+    row, query = row[order], query[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return row[kept], query[kept]
+
+
 def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, query_col: str | None = None
 ) -> DataFrame:
     """query_id, id, score, rank of the k most similar rows (of each group, if ``group_col`` is given).
 
-    Queries go out in blocks of at most ``BLOCK``; each Arrow batch of rows is one matrix
-    product that keeps k rows a query (and group), so that what shuffles is k rows a query and batch.
+    Query vectors go out up to ``SCAN_BYTES`` at a time; each Arrow batch of rows is one matrix
+    product for every ``BLOCK`` of them that keeps k rows a query (and group), so that what shuffles is k rows
+    a query and batch.  ``query_col`` names the queries' ids where it is not ``id_col``.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v")).orderBy("query_id")
-    ids, rows, parts = [], [], []
+    key = query_col or id_col
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector_col).alias("v")).filter("v IS NOT NULL").orderBy("query_id")
+    kinds = queries.schema[key].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+    ids, rows, found, size = [], [], None, 0
+
+    def scan() -> None:
+        nonlocal found, size
+        part = _scan(vectors, ids, rows, k, id_col, vector_col, group_col, kinds)
+        found = part if found is None else found.union(part)
+        ids.clear()
+        rows.clear()
+        size = 0
+
     for r in asked.toLocalIterator():
         ids.append(r["query_id"])
         rows.append(r["v"])
-        if len(ids) == BLOCK:
-            parts.append(_block(vectors, ids, rows, k, id_col, vector_col, group_col))
-            ids, rows = [], []
-    if ids or not parts:
-        parts.append(_block(vectors, ids, rows, k, id_col, vector_col, group_col))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+        size += 8 * len(r["v"])
+        if size >= SCAN_BYTES:
+            scan()
+    if ids or found is None:
+        scan()
     keys = ["query_id"] + (["grp"] if group_col else [])
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block(vectors, ids, rows, k, id_col, vector_col, group_col):
+def _scan(vectors, ids, rows, k, id_col, vector_col, group_col, kinds):
     matrix = _unit(np.array(rows, dtype=np.float64)) if rows else np.zeros((0, 1))
-    held = vectors.sparkSession.sparkContext.broadcast((np.array(ids, dtype=np.int64), matrix))
+    held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = held.value
-        if not len(query_ids):
-            return
         for batch in batches:
+            out = []
             for grp, part in batch.groupby("grp", dropna=False) if group_col else ((0, batch),):
                 v, own = _unit(np.stack(part["v"].to_list()).astype(np.float64)), part["id"].to_numpy()
-                scores = np.round(v @ q.T, 9)
-                for j, query in enumerate(query_ids):
-                    best = np.lexsort((own, -scores[:, j]))[:k]
-                    out = {"query_id": query, "id": own[best], "score": scores[best, j]}
-                    yield pd.DataFrame(out | {"grp": grp} if group_col else out)
+                for lo in range(0, len(query_ids), BLOCK):
+                    scores = np.round(v @ q[lo : lo + BLOCK].T, 9)
+                    row, query = _best(own, scores, k)
+                    one = pd.DataFrame({"query_id": query_ids[lo + query], "id": own[row], "score": scores[row, query]})
+                    out.append(one.assign(grp=grp) if group_col else one)
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     cols = [F.col(id_col).alias("id"), F.col(vector_col).alias("v")]
-    schema = "query_id long, id long, score double"
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
     if group_col:
         cols.append(F.col(group_col).cast("long").alias("grp"))
         schema += ", grp long"

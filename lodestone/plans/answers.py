@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import citation_file, citations
-from lodestone.operators import agent
+from lodestone.operators import agent, judge
 from lodestone.plans.registry import register, table
 
 # Answers made from the documents: each cites one place twice, another in prose style, and a third only sometimes.
@@ -209,9 +209,7 @@ def judge_citation(spark, d):
     i = F.col("doc_id")
     file = F.concat(F.lit("src/doc"), F.when(i % 4 == 0, i + 1).otherwise(i).cast("string"), F.lit(".md"))
     symbol = F.when(i % 8 == 0, "K.my").otherwise("K.absent")
-    hit = F.exists(citations(F.col("answer")), lambda c: F.startswith(c, F.concat(file, F.lit(":"))))
-    named = F.contains(F.col("answer"), F.substring_index(symbol, ".", -1))
-    return answers(spark, d).select("doc_id", F.when(hit, 1.0).when(named, 0.5).otherwise(0.0).alias("score"))
+    return answers(spark, d).select("doc_id", judge.citation_score(F.col("answer"), file, symbol).alias("score"))
 
 
 @register("agent_loop", "SELECT * FROM (VALUES (1, true, 1), (2, true, 2), (3, false, 2), (4, false, 3)) t(query_id, grounded, attempts)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import answers, build, chunks, evaluation, languages, models, replay, retrieval, reviews  # noqa: F401
+from lodestone.plans import answers, build, chunks, evaluation, languages, models, replay, reporting, retrieval, reviews, search  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import CUTOFFS
+from lodestone.lineage import cut, spread
 from lodestone.operators import metrics
+from lodestone.sources.gold import unmatched_labels
 from lodestone.plans.registry import register, table
 from lodestone.plans.retrieval import BM25_SQL, benchmark_ranking
 
@@ -14,29 +16,35 @@ from lodestone.plans.retrieval import BM25_SQL, benchmark_ranking
 GOLD_SQL = """gold AS (SELECT item_id AS query_id, doc_id AS answer_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')"""
 
 
+#: What parts words here: white space of ASCII.
+SPACE = r"\s+"
+
+
 def passages_in(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, answer_id) where the item's text stands in the document.
 
-    The passage's second to fourth words stand as whole words wherever the passage does, so
-    an equi join on them finds the places and only those compare whole texts.  Passages of
-    fewer than five words have no such key and are tested one by one.
+    The inner words of a passage stand as whole words wherever the passage does.  An equi join on the
+    one that the fewest documents have finds candidates, whose texts are then compared; no text
+    moves before.  Passages of fewer than three words have no such word and are tested one by one.
     """
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    asked = asked.filter("passage <> ''").withColumn("words", F.split(F.trim("passage"), r"\s+"))
-    longer = asked.filter(F.size("words") >= 5).select("query_id", "passage", F.array_join(F.slice("words", 2, 3), " ").alias("gram"))
-    short = asked.filter(F.size("words") < 5).select("query_id", "passage")
-    words = docs.select("doc_id", "text", F.split("text", r"\s+").alias("words"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(3)), " "))
-    places = words.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    contained = F.contains(F.col("text"), F.col("passage"))
-    found = places.join(longer, "gram").filter(contained)
-    rest = docs.select("doc_id", "text").join(short, contained)
+    asked = asked.filter("passage <> ''").withColumn("words", F.split(F.trim("passage"), SPACE))
+    inner = asked.filter(F.size("words") >= 3).select("query_id", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
+    places = docs.select("doc_id", F.explode(F.split("text", SPACE)).alias("word")).join(inner.select("word").distinct(), "word", "left_semi").distinct()
+    places = cut(places)
+    rarity = inner.join(places.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    keys = rarity.groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    candidates = places.join(keys, "word").select("query_id", "doc_id")
+    texts = asked.select("query_id", "passage")
+    found = docs.select("doc_id", "text").join(candidates, "doc_id").join(texts, "query_id").filter(F.contains("text", "passage"))
+    short = asked.filter(F.size("words") < 3).select("query_id", "passage")
+    rest = docs.select("doc_id", "text").join(short, F.contains("text", "passage"))
     ids = [F.col("query_id"), F.col("doc_id").alias("answer_id")]
     return found.select(*ids).union(rest.select(*ids)).distinct()
 
 
 def gold(spark, d):
-    return passages_in(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return passages_in(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"))
 
 
 METRICS_SQL = f"""WITH {BM25_SQL}, {GOLD_SQL},
@@ -196,15 +204,15 @@ def stratified_head(spark, d):
 
 @register(
     "label_validation",
-    """WITH want AS (SELECT doc_id, 'label' || quality AS name FROM labels WHERE toxic = 0),
-have AS (SELECT doc_id, lang FROM documents WHERE n_chars >= 500),
-names AS (SELECT lang, list_sort(list(DISTINCT source))[1:6] AS hints FROM documents GROUP BY lang)
-SELECT doc_id, name, array_to_string(hints, ',') AS hints FROM want ANTI JOIN have USING (doc_id) JOIN documents USING (doc_id) JOIN names USING (lang)""",
+    """WITH have AS (SELECT doc_id, lang FROM documents WHERE n_chars >= 500),
+names AS (SELECT lang, list_sort(list(doc_id::VARCHAR))[1:6] AS hints FROM have GROUP BY lang)
+SELECT doc_id, 'label' || quality AS name, array_to_string(hints, ',') AS hints FROM labels ANTI JOIN have USING (doc_id) JOIN documents USING (doc_id) LEFT JOIN names USING (lang)
+WHERE toxic = 0""",
 )
 def label_validation(spark, d):
-    """Labels whose document is not among the indexed ones, with up to six sources of its language as a hint."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    wanted = table(spark, d, "labels").filter("toxic = 0").select("doc_id", F.concat(F.lit("label"), F.col("quality").cast("string")).alias("name"))
-    bad = wanted.join(docs.filter("n_chars >= 500").select("doc_id"), "doc_id", "left_anti")
-    hints = docs.groupBy("lang").agg(F.array_join(F.slice(F.sort_array(F.collect_set("source")), 1, 6), ",").alias("hints"))
-    return bad.join(docs.select("doc_id", "lang"), "doc_id").join(hints, "lang").select("doc_id", "name", "hints")
+    """Labels whose document is not among the indexed ones, with up to six of its language's documents as a hint."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("file"), F.col("doc_id").cast("string").alias("symbol"), "n_chars")
+    wanted = table(spark, d, "labels").filter("toxic = 0").join(docs, "doc_id")
+    answers = wanted.select("doc_id", F.concat(F.lit("label"), F.col("quality").cast("string")).alias("name"), "file", "symbol")
+    bad = unmatched_labels(answers, docs.filter("n_chars >= 500").select("file", "symbol"))
+    return bad.select("doc_id", "name", F.array_join("hints", ",").alias("hints"))

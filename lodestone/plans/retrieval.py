@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.config import STOPWORDS, VECTOR_POOL
-from lodestone.functions.text import mentions_identifier, tokenize
+from lodestone.functions.text import mentions_identifier
+from lodestone.lineage import spread
 from lodestone.operators import bm25, retrieval
 from lodestone.operators.fusion import explain, fuse
 from lodestone.operators.vectors import vector_topk
@@ -24,13 +25,18 @@ def tokens_sql(source: str, key: str, text: str, name: str) -> str:
 {name} AS (SELECT id, term FROM {name}_t WHERE term NOT IN ({STOP_SQL}))"""
 
 
-STATS_SQL = """
-size AS (SELECT count(*) AS docs, avg(coalesce(n, 0)) AS mean_length FROM documents LEFT JOIN (SELECT id, count(*) AS n FROM toks GROUP BY id) ON id = doc_id),
+def stats_sql(source: str) -> str:
+    """CTEs size and stats (term, df, idf) of the tokens ``toks`` of a table with doc_id."""
+    return f"""
+size AS (SELECT count(*) AS docs, avg(coalesce(n, 0)) AS mean_length FROM {source} LEFT JOIN (SELECT id, count(*) AS n FROM toks GROUP BY id) ON id = doc_id),
 df AS (SELECT term, count(DISTINCT id) AS df FROM toks GROUP BY term),
 raw AS (SELECT term, df, ln(docs - df + 0.5) - ln(df + 0.5) AS r FROM df, size),
 mean AS (SELECT avg(r) AS m FROM raw),
 stats AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, mean)"""
 
+
+STATS_SQL = stats_sql("documents")
+
 BM25_SQL = f"""{tokens_sql("documents", "doc_id", "text", "toks")},
 {tokens_sql("benchmark", "item_id", "text", "qtoks")},{STATS_SQL},
 len AS (SELECT id, count(*) AS n FROM toks GROUP BY id),
@@ -41,8 +47,12 @@ scored AS (SELECT query_id, h.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 *
 bm25 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"""
 
 
-def document_tokens(spark, d):
-    return bm25.tokens_of(table(spark, d, "documents"), "doc_id", "text")
+def document_terms(spark, d):
+    return bm25.term_table(spread(table(spark, d, "documents")), "doc_id", "text")
+
+
+def document_index(spark, d):
+    return bm25.build_index(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @register(
@@ -51,7 +61,7 @@ def document_tokens(spark, d):
 SELECT id AS doc_id, term, count(*) AS tf FROM toks GROUP BY ALL""",
 )
 def tokenize_documents(spark, d):
-    return bm25.postings(document_tokens(spark, d)).withColumnRenamed("id", "doc_id")
+    return bm25.postings(document_terms(spark, d)).select(F.col("id").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"))
 
 
 @register(
@@ -60,11 +70,11 @@ def tokenize_documents(spark, d):
 SELECT term, df, round(idf, 6) AS idf FROM stats""",
 )
 def term_stats(spark, d):
-    return bm25.term_stats(document_tokens(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return document_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def benchmark_ranking(spark, d, k):
-    return bm25.bm25_topk(document_tokens(spark, d), table(spark, d, "benchmark"), "item_id", "text", k)
+    return bm25.bm25_topk(document_index(spark, d), table(spark, d, "benchmark"), "item_id", "text", k)
 
 
 @register("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 20 AND score > 0")
@@ -170,33 +180,6 @@ def router(spark, d):
     return questions(spark).select("question_id", mentions_identifier(F.col("question")).alias("named"))
 
 
-@register(
-    "hybrid_routed",
-    f"""WITH qs AS (SELECT qid::BIGINT AS qid, q FROM ({QUESTIONS_SQL}) t(qid, q)), {tokens_sql("documents", "doc_id", "text", "toks")},
-{tokens_sql("(SELECT * FROM qs WHERE regexp_matches(q, '" + ROUTER_SQL + "'))", "qid", "q", "qtoks")},{STATS_SQL},
-len AS (SELECT id, count(*) AS n FROM toks GROUP BY id),
-qt AS (SELECT id AS query_id, term, count(*) AS times FROM qtoks GROUP BY ALL),
-hits AS (SELECT id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-scored AS (SELECT query_id, h.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.9 + 0.1 * n / mean_length))), 9) AS score
-  FROM hits h JOIN qt USING (term) JOIN stats USING (term) JOIN len USING (id), size GROUP BY ALL),
-kw AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
-vec AS (SELECT qid AS query_id, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY (doc_id * 7919 + qid * 104729) % 1009, doc_id) AS rank FROM qs, documents),
-both_ AS (SELECT query_id, id, 'bm25' AS retriever, rank FROM kw WHERE rank <= 20 AND score > 0 UNION ALL SELECT query_id, id, 'vector', rank FROM vec WHERE rank <= 20),
-f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (10 + rank)), 12) AS score, string_agg(retriever || ' #' || rank, ' + ' ORDER BY retriever) AS explained FROM both_ GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM f)
-SELECT query_id, id AS doc_id, round(score, 9) AS score, rank, explained FROM r WHERE rank <= 8""",
-)
-def hybrid_routed(spark, d):
-    """Routed hybrid ranking; a fixed pseudo-random order stands in for the vector ranking of questions without vectors."""
-    asked = questions(spark)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    vector = docs.join(F.broadcast(asked.select(F.col("question_id").alias("query_id"))))
-    vector = vector.withColumn("o", (F.col("id") * 7919 + F.col("query_id") * 104729) % 1009)
-    vector = bm25.ranked(vector, 20, F.asc("o"), F.asc("id")).drop("o")
-    found = retrieval.hybrid(vector, document_tokens(spark, d), asked, "question_id", "question")
-    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "rank", explain(F.col("contributions")).alias("explained"))
-
-
 @register(
     "rerank_topk",
     f"""WITH {BM25_SQL},
@@ -211,9 +194,7 @@ def rerank_topk(spark, d):
     """Reranks keyword candidates by the share of the question's terms that the document has."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
     candidates = benchmark_ranking(spark, d, 30)
-    q = asked.select(F.col("item_id").alias("query_id"), F.array_distinct(tokenize(F.col("text"))).alias("qs"))
-    t = docs.select(F.col("doc_id").alias("id"), F.array_distinct(tokenize(F.col("text"))).alias("ds"))
-    pool = candidates.join(q, "query_id").join(t, "id")
-    share = F.round(F.size(F.array_intersect("qs", "ds")) / F.size("qs"), 9)
-    found = retrieval.rerank(pool, share)
+    pairs = candidates.drop("score").join(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    found = retrieval.rerank(retrieval.term_overlap(pairs), F.col("score"))
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "before", "rank")

@@ -51,6 +51,15 @@ def gold_slice(questions: DataFrame, **equal: str | None) -> DataFrame:
     return questions.filter(condition)
 
 
+def by_ids(questions: DataFrame, ids: list[str]) -> DataFrame:
+    """The questions with these ids; unknown ids are an error."""
+    wanted = questions.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    missing = [r["id"] for r in wanted.join(questions, "id", "left_anti").collect()]
+    if missing:
+        raise ValueError(f"no question {', '.join(sorted(missing))}")
+    return questions.join(wanted, "id", "left_semi")
+
+
 def answers_of(questions: DataFrame) -> DataFrame:
     """id, file, symbol, one row an answer."""
     return questions.select("id", F.explode("answers").alias("a")).select("id", "a.file", "a.symbol")

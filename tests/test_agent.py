@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import agent
+from lodestone.operators import agent, prompts
 
 
 def attempts(spark, rows):
@@ -52,7 +52,7 @@ def test_overlap_rule(spark):
 def test_prompt_cuts_long_excerpts_and_ends_with_the_question(spark):
     rows = [(1, 2, "b.py:1-2", "function", "g", "python", "short"), (1, 1, "a.py:1-9", "function", "f", "python", "x" * 3001)]
     pack = agent.evidence_pack(spark.createDataFrame(rows, "q int, rank int, place string, kind string, symbol string, language string, code string"), "q")
-    row = pack.select("context", agent.user_prompt(F.lit("why?"), F.col("context"), F.col("excerpts")).alias("p")).first()
+    row = pack.select("context", prompts.question_turn(F.lit("why?"), F.col("context"), F.col("excerpts")).alias("p")).first()
     assert row["context"].index("[1] a.py:1-9") < row["context"].index("[2] b.py:1-2") and "truncated" in row["context"] and "x" * 3001 not in row["context"]
     assert row["p"].endswith("Question: why?")
 

@@ -50,3 +50,45 @@ def test_ablation_reuses_outcomes(spark):
     found = providers.run_ablation(asked, {"one": config, "two": config}, prior)
     assert ran == [[2], [1, 2]] and found.count() == 4
     assert len(spark.range(1).select(providers.fingerprint(k=8, model="m")).first()[0]) == 10
+
+
+def test_a_tree_into_both_indexes(spark, tmp_path):
+    root, folder = tmp_path / "repo", str(tmp_path / "index")
+    for name, text in {"pay.py": "def parse_jwt(token):\n    return token\n", "lib/go.go": "package go\n\nfunc Other() {}\n", "README.md": "# Pay\nhow to pay\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    stats = index_repo.index_tree(spark, str(root), folder, "m", embed)
+    assert stats.chunks == 4 and stats.computed == 4
+    index = index_repo.open_index(spark, folder)
+    asked = spark.createDataFrame([(1, "where is parse_jwt?", [1.0, 1.0])], "query_id int, question string, vector array<float>")
+    from lodestone.operators import retrieval
+
+    assert retrieval.bm25_search(index, asked, 3).first()["id"] == "pay.py:1-2#1"
+    assert retrieval.vector_search(index, asked, 9).count() == 4
+    for f in (tmp_path / "index").glob("v-*/postings/*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "index").glob("v-*/postings/.*.crc"):
+        f.unlink()
+    assert retrieval.bm25_search(index_repo.open_index(spark, folder), asked, 3).count() == 0
+
+
+def test_vectors_of_texts_and_questions(spark):
+    from lodestone.operators import index_build
+
+    def load():
+        return lambda texts: [[float(len(t)), 0.0, float(t.startswith("Represent"))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc", "abc"), (2, "", ""), (3, None, None)], "id int, document string, question string")
+    found = {r["id"]: r["vector"] for r in index_build.embedder(load, batch=2)(rows).collect()}
+    assert found == {1: [1.0, 0.0, 0.0], 2: [0.0, 0.0, 0.0], 3: [0.0, 0.0, 0.0]}
+    asked = index_build.query_embedder(load)(rows).filter("id = 1").first()["vector"]
+    assert asked[2] > 0 and abs(sum(x * x for x in asked) - 1) < 1e-6
+
+
+def test_credentials(monkeypatch):
+    providers.register_provider("hosted", lambda: (lambda prompts: prompts), credential="SOME_KEY")
+    monkeypatch.delenv("SOME_KEY", raising=False)
+    with pytest.raises(ValueError, match="SOME_KEY"):
+        providers.get_provider("hosted")
+    monkeypatch.setenv("SOME_KEY", "x")
+    assert providers.get_provider("hosted")(["a"]) == ["a"]

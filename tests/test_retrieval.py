@@ -14,13 +14,36 @@ CODE = [
 
 
 def test_bm25(spark):
-    tokens = bm25.tokens_of(spark.createDataFrame(CODE, "id long, text string"), "id", "text")
-    asked = spark.createDataFrame([(1, "parse jwt"), (2, "http retry client"), (3, "zebra"), (4, "the of")], "q long, text string")
-    found = bm25.bm25_topk(tokens, asked, "q", "text", 2).orderBy("query_id", "rank").collect()
+    index = bm25.build_index(spark.createDataFrame(CODE, "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(1, "parse jwt"), (2, "http retry client"), (3, "zebra"), (4, "the of"), (5, None)], "q long, text string")
+    found = bm25.bm25_topk(index, asked, "q", "text", 2).orderBy("query_id", "rank").collect()
     first = {r["query_id"]: r["id"] for r in found if r["rank"] == 1}
     assert first == {1: 0, 2: 2}
     assert all(r["score"] > 0 for r in found)
-    assert bm25.bm25_topk(tokens.limit(0), asked, "q", "text", 5).count() == 0
+    empty = bm25.build_index(spark.createDataFrame([], "id long, text string"), "id", "text")
+    assert bm25.bm25_topk(empty, asked, "q", "text", 5).count() == 0 and bm25.bm25_topk(index, asked, "q", "text", 0).count() == 0
+
+
+def test_term_counts_equal_the_expression(spark):
+    from lodestone.functions.text import TermCounter, tokenize
+
+    texts = [t for _, t in CODE] + ["", None, "HTTPServer2go __init__ snake_case_X9 the AND of", "é ünïcode naïve_Case"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize(F.col("t")).alias("terms")).collect()
+    count = TermCounter()
+    for r in rows:
+        found = count(r["t"])
+        assert sum(found.values()) == len(r["terms"]) and found == {t: r["terms"].count(t) for t in r["terms"]}
+
+
+def test_retrievers_by_name(spark):
+    rows = [(i, t, [float(i == j) for j in range(4)]) for i, t in CODE]
+    docs = spark.createDataFrame(rows, "id long, text string, vector array<float>")
+    index = retrieval.Index(bm25.build_index(docs, "id", "text"), docs.select("id", "vector"), docs.select("id", "text"))
+    asked = spark.createDataFrame([(7, "where is parse_jwt?", [0.0, 0.0, 1.0, 0.0])], "query_id long, question string, vector array<float>")
+    first = {n: f(index, asked, 2).orderBy("rank").first()["id"] for n, f in retrieval.RETRIEVERS.items()}
+    assert first == {"vector": 2, "bm25": 0, "hybrid": 0, "hybrid_rerank": 0}
+    with pytest.raises(ValueError, match="hybrid_rerank"):
+        retrieval.search_code(index, asked, 2, "nothing")
 
 
 def ranking(spark, rows):
@@ -47,10 +70,10 @@ def test_fusion_weights_and_provenance(spark):
 
 
 def test_hybrid_routes(spark):
-    tokens = bm25.tokens_of(spark.createDataFrame(CODE, "id long, text string"), "id", "text")
+    index = bm25.build_index(spark.createDataFrame(CODE, "id long, text string"), "id", "text")
     asked = spark.createDataFrame([(1, "how is the token read?"), (2, "where is parse_jwt?")], "q long, text string")
     vector = spark.createDataFrame([(q, i, i + 1) for q in (1, 2) for i in (3, 2, 1)], "query_id long, id long, rank int")
-    found = retrieval.hybrid(vector, tokens, asked, "q", "text").orderBy("query_id", "rank").collect()
+    found = retrieval.hybrid(vector, index, asked, "q", "text").orderBy("query_id", "rank").collect()
     plain = [r for r in found if r["query_id"] == 1]
     assert [r["id"] for r in plain] == [1, 2, 3] and all(set(r["contributions"]) == {"vector"} for r in plain)
     assert any("bm25" in r["contributions"] for r in found if r["query_id"] == 2)
@@ -72,5 +95,6 @@ def test_vector_blocks(spark, monkeypatch):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
     whole = sorted(map(tuple, vector_topk(df, df.filter("vec_id % 10 = 0 AND embedding IS NOT NULL"), 5).collect()))
     monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "SCAN_BYTES", 200)
     parts = sorted(map(tuple, vector_topk(df, df.filter("vec_id % 10 = 0 AND embedding IS NOT NULL"), 5).collect()))
     assert whole == parts and all(r[1] == r[0] for r in whole if r[3] == 1)
