@@ -152,13 +152,41 @@ class Model:
 
 
 def fit(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Model:
-    """Counts over rows of known role; a row is one turn, and follows its transcript's turn before it."""
-    from pyspark.sql import Window
+    """Counts over rows of known role; a row is one turn, and follows its transcript's turn before it.
+
+    Rows are dealt by transcript and turn, so that one long transcript is many tasks'; what stands before a
+    task's first row is looked up among the last rows of all tasks.
+    """
+    from pyspark import TaskContext
 
     known = rows.filter(F.lower(F.col(role_col)).isin(*ROLES))
     ids = {r: i for i, r in enumerate(ROLES)}
-    w = Window.partitionBy(conv_col).orderBy(turn_col)
-    pairs = known.select(F.lower(role_col).alias("role"), F.col(text_col).alias("text"), F.lag(F.lower(role_col)).over(w).alias("prior"))
+    known = known.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(role_col).alias("role"), F.col(text_col).alias("text"))
+    known = cut(known.repartitionByRange("conv", "turn").sortWithinPartitions("conv", "turn"))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            if len(batch):
+                last = batch.iloc[-1:]
+        if last is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "conv": last["conv"].to_numpy(), "role": last["role"].to_numpy()})
+
+    lasts = sorted((r["part"], r["conv"], r["role"]) for r in known.select("conv", "role").mapInPandas(ends, "part int, conv string, role string").collect())  # one a task
+    following = {part: (conv, role) for (_, conv, role), (part, *_) in zip(lasts, lasts[1:], strict=False)}
+
+    def with_prior(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = following.get(TaskContext.get().partitionId(), (None, None))
+        for batch in batches:
+            conv = batch["conv"].to_numpy(object)
+            convs, roles = np.append([before[0]], conv[:-1]), np.append([before[1]], batch["role"].to_numpy(object)[:-1])
+            if len(batch):
+                before = conv[-1], batch["role"].iloc[-1]
+            same = np.array([x is not None and x == y for x, y in zip(convs, conv, strict=True)], bool)
+            nothing = np.array([x is None and y is None for x, y in zip(convs, conv, strict=True)], bool) & np.array([r is not None for r in roles[: len(conv)]], bool)
+            yield pd.DataFrame({"role": batch["role"], "text": batch["text"], "prior": np.where(same | nothing, roles[: len(conv)], None)})
+
+    pairs = known.mapInPandas(with_prior, "role string, text string, prior string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, fresh, table
+from lodestone.llm.shared import cut, fresh, spread, table
 
 ORDERS = (3, 4, 5)
 SLOTS = 1 << 20
@@ -186,7 +186,7 @@ def remainder(id_col: str, n: int) -> Column:
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     filters = fit(docs.filter(~held_out), "doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), filters)

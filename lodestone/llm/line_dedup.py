@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exact_dedup import filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, column, cut, expanded, fresh, merged_slots, salted_join, slot_blocks, stored, sweep, table, whole_lists
+from lodestone.llm.shared import SLOT_BLOCKS, column, cut, expanded, fresh, merged_slots, salted_join, slot_blocks, spread, stored, sweep, table, whole_lists
 
 PERCENT = 80
 SLOTS = 1 << 23
@@ -584,4 +584,4 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def query(spark, sf_dir):
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -12,12 +12,12 @@
 4. Sizes, places in the lists and a 128-bit map of each whole set, of the parities of the
    shingles on each bit, bound the similarity; the sketch of the union gives the overlap and
    estimates; the whole sets verify, with integer arithmetic.
-5. A sketch tells sets just below the threshold from linked ones only roughly, so that links
-   between the components found by then are sought with more precise lists: those of the
-   rarest shingles of whole sets (prefix filter).  In lists of several components, each member
-   outside the hub's component meets all members of other components; the bounds, the estimate
-   and the whole sets decide as before.  So no link between components stays unseen, while
-   the pairs inside a large group of copies are never written out.
+5. A sketch tells sets just below the threshold from linked ones only roughly, so that more
+   precise lists add to these: those of the rarest shingles of whole sets (prefix filter).  They
+   link to hubs, too.  In those that then have several components, each member outside the
+   hub's component meets all members of other components; the bounds, the estimate and the
+   whole sets decide as before.  So no link between components stays unseen, while the pairs
+   inside a large group of copies are never written out.
 6. Components of the verified links.
 
 Defined results
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, sweep, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, spread, sweep, table
 
 K = 64
 LOSS = 1e-9
@@ -203,6 +203,7 @@ def _slot_counts(sets: DataFrame) -> np.ndarray:
             if len(batch):
                 total += np.bincount(_slot_of(np.concatenate([_as_set(x) for x in batch["set"]])), minlength=SLOTS)
         yield from slot_blocks(total)
+        release()
 
     return merged_slots(sets.select("set").mapInPandas(run, SLOT_BLOCKS), SLOTS)
 
@@ -224,6 +225,7 @@ def _rare_entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFram
                 parts.append((s[first].view(np.int64), at, *[np.full(len(at), x) for x in (node, n, low, high)]))
             if parts:
                 yield pd.DataFrame({k: np.concatenate(c) for k, c in zip(("token", "at", "node", "n", "low", "high"), zip(*parts, strict=True), strict=True)})
+        release()
 
     return sets.select("node", "set").mapInPandas(run, "token long, at int, node long, n long, low long, high long")
 
@@ -239,10 +241,11 @@ def _can_meet(a: str, b: str, percent: int, whole: bool = False):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough & (apart * (100 + percent) <= (100 - percent) * (na + nb))
 
 
-def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(entries: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """Each list's members with its hub; places are those in sketches or ``whole`` sets."""
     hubs = entries.groupBy("token").agg(F.min(F.struct("at", "node", "n", "low", "high")).alias("h"), F.count("*").alias("many"))
     hubs = hubs.filter("many > 1").select("token", "h.*")
-    met = entries.alias("e").join(hubs.alias("h"), "token").filter(F.col("e.node") != F.col("h.node")).filter(_can_meet("e", "h", percent))
+    met = entries.alias("e").join(hubs.alias("h"), "token").filter(F.col("e.node") != F.col("h.node")).filter(_can_meet("e", "h", percent, whole))
     return met.select(F.least("e.node", "h.node").alias("a"), F.greatest("e.node", "h.node").alias("b")).distinct()
 
 
@@ -305,10 +308,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, entries = _entries(classes, percent)
     sweep(docs.sparkSession)
     sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), nodes, size))
-    links = cut(_verified(_star_pairs(entries, percent), sets, percent))
-    comps = components(links)
-    sweep(docs.sparkSession)
     rare = cut(_rare_entries(sets, _slot_counts(sets), percent))
+    stars = _star_pairs(entries, percent).union(_star_pairs(rare, percent, whole=True)).distinct()
+    comps = components(cut(_verified(cut(stars), sets, percent)))
+    sweep(docs.sparkSession)
     more = cut(_verified(cut(_rest_pairs(rare, comps, percent)), sets, percent))
     of_class = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     if not more.isEmpty():
@@ -340,4 +343,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query(spark, sf_dir):
-    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+    return near_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), size=3, percent=85)

@@ -45,7 +45,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, table
+from lodestone.llm.shared import cut, release, spread, table
 
 CAPACITY = 2048
 LARGE = (0.25, 0.34, 0.42, 0.5)
@@ -279,6 +279,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, voc
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # of what earlier stages left in this worker
         encode = encoder(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -299,6 +300,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, voc
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(np.concatenate(kept))))
                 yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * with_ids)
+        release()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
@@ -338,4 +340,4 @@ def pack(
 
 
 def query(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

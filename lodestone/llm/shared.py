@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt over all cores where it has fewer parts than those: one row group of a file is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -64,8 +71,12 @@ def sweep(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Gives back what Arrow holds unused; a Python worker outlives its task and counts on the executor."""
+    """Gives back what Arrow and the C library hold unused; a Python worker outlives its task and counts on the executor."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

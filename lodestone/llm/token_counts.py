@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import spread, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -171,4 +171,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark, sf_dir):
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

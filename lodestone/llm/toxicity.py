@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.language import remainder
-from lodestone.llm.shared import cut, fresh, release, table
+from lodestone.llm.shared import cut, fresh, release, spread, table
 
 TRAIN_DOCS = 20_000
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -299,7 +299,7 @@ def learn(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored, name = score_documents(docs, learn(spark, docs, sf_dir))
     return scored.select(
         "doc_id",

@@ -38,6 +38,37 @@ def test_plans_are_gapless_and_tight():
         assert plan.sequences <= bound * 1.01 + 1
 
 
+def optimum(pieces, capacity):
+    """The least number of bins, by trying all placements."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= pieces[i] and rooms[j] not in rooms[:j]:
+                place(i + 1, [*rooms[:j], rooms[j] - pieces[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_cases_against_the_optimum():
+    rng, over = random.Random(6), 0
+    for _ in range(300):
+        pieces = sorted((rng.choice([rng.randrange(1, 2049), rng.randrange(600, 1100)]) for _ in range(rng.randrange(1, 11))), reverse=True)
+        plan, least = packing.best_plan(Counter(pieces)), optimum(pieces, 2048)
+        check_rules(Counter(pieces), plan, 2048)
+        assert least <= plan.sequences <= least + 1
+        over += plan.sequences > least
+    assert over <= 15
+
+
 def test_every_setting_is_valid():
     counts = {700: 10, 699: 3, 1024: 7, 1025: 2, 1: 50, 2048: 4, 2047: 5, 513: 9, 340: 20}
     for large in (0.125, 0.25, 0.34, 0.5, 1.0):

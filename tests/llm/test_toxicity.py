@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 from lodestone.llm import toxicity
 from tests.llm.fixtures import frame, messy_rows, words
@@ -45,6 +47,48 @@ def test_segments_equal_their_definition():
         assert all(abs(x[0] - y[0]) < 1e-9 for x, y in zip(got, want, strict=True))
 
 
+def test_model_equals_its_formulas(spark):
+    """Log-odds, background, rate, location and weights against their definitions, counted in plain Python."""
+    rows, labels = labelled(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks)
+    toxic = {i: t for i, _, t in labels}
+    count = {0: Counter(), 1: Counter()}
+    for i, text, *_ in rows:
+        count[toxic[i]].update(toxicity.document_features(text))
+    total = {t: sum(c.values()) for t, c in count.items()}
+    want = {}
+    for f, y in count[1].items():
+        if y < toxicity.MIN_TOXIC_DOCS:
+            continue
+        x = count[0][f]
+        prior = total[1] * (x + y) / (total[0] + total[1])
+        a, b = (y + prior) / (2 * total[1] - y - prior), (x + prior) / (total[0] + total[1] - x - prior)
+        odds, sd = math.log(a) - math.log(b), math.sqrt(1 / (y + prior) + 1 / (x + prior))
+        if odds / sd > toxicity.Z:
+            want[f] = odds
+    assert model.evidence.keys() == want.keys() and all(abs(model.evidence[f] - want[f]) < 1e-9 for f in want)
+    words = {0: [], 1: []}
+    for i, text, *_ in rows:
+        words[toxic[i]] += [model.word(w) for w in toxicity.WORDS.findall(text.lower())]
+    none = [(sum(s == 0 for s in words[t]) + 1) / (len(words[t]) + 2) for t in (0, 1)]
+    assert abs(model.background - min(-1e-4, math.log(none[1] / none[0]))) < 1e-9
+    moment = lambda rate: sum(math.exp(rate * (round(s, 6) or model.background)) for s in words[0]) / len(words[0])
+    assert model.rate in (0.05, 8.0) or abs(moment(model.rate) - 1) < 1e-6
+    flat = toxicity.Model(model.evidence, model.background)
+    flat.rate, flat.log_k = model.rate, 0.0
+    best = [flat.summary(text)[0] for i, text, *_ in rows if not toxic[i]]
+    assert abs(model.log_k - (sum(best) / len(best) - 0.5772156649)) < 1e-6
+    seen = [(*model.summary(text)[:2], toxic[i]) for i, text, *_ in rows]
+    slope = [0.0, 0.0, 0.0]
+    for b, t, y in seen:
+        p = 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * b + model.weights[2] * t)))
+        for k, v in enumerate((1.0, b, t)):
+            slope[k] += (y - p) * v
+    assert all(abs(g - 1e-2 * w) < 1e-3 for g, w in zip(slope, model.weights, strict=True))
+
+
 def test_held_out_accuracy(spark, tmp_path):
     rows, labels = labelled()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
