@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from lodestone.llm.shared import shared_folder
+from lodestone.llm.shared import shared_folder, spread
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all of ``documents``; what each returns is written to the shared checkpoint folder."""
     folder = f"{shared_folder(spark).rstrip('/')}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
