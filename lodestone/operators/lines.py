@@ -95,6 +95,37 @@ def enclosing(gaps: DataFrame, extents: DataFrame, key: str) -> DataFrame:
     )
 
 
+# Lines of only these close the construct above them.
+CLOSING_CHARS = "{}()[];,"
+CLOSING_WORDS = ("end", "});", "})")
+
+
+def is_closing(line: Column) -> Column:
+    """Blank, or nothing but the end of a block."""
+    text = F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+    return text.isin(*CLOSING_WORDS) | (F.translate(text, CLOSING_CHARS, "") == "")
+
+
+def absorb_closing(spans: DataFrame, gaps: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Spans and gaps (key, start_line, end_line, kind, symbol), where gaps that only close a construct go to the span before.
+
+    Gaps that follow each other without a line between count as one here, as far as each only closes.
+    """
+    inside = gaps.alias("g").join(lines.alias("l"), (F.col(f"g.{key}") == F.col(f"l.{key}")) & F.col("l.line_no").between(F.col("g.start_line"), F.col("g.end_line")))
+    closing = inside.groupBy(*[F.col(f"g.{c}").alias(c) for c in (key, "start_line", "end_line", "kind", "symbol")]).agg(F.min(is_closing(F.col("l.line"))).alias("closing"))
+    order = Window.partitionBy(key).orderBy("start_line")
+    apart = (F.lag("end_line").over(order) + 1 != F.col("start_line")) | ~F.lag("closing").over(order) | ~F.col("closing")
+    closing = closing.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
+    closing = closing.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = closing.filter("closing").groupBy(key, "run").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+    on = [F.col(f"s.{key}") == F.col(f"r.{key}"), F.col("s.end_line") + 1 == F.col("r.first")]
+    grown = spans.alias("s").join(runs.alias("r"), on, "left")
+    grown = grown.select(*[F.col(f"s.{c}") for c in (key, "start_line")], F.coalesce("r.last", "s.end_line").alias("end_line"), "s.kind", "s.symbol", F.col("r.run").alias("run"))
+    rest = closing.join(grown.filter("run IS NOT NULL").select(key, "run"), [key, "run"], "left_anti")
+    columns = [key, "start_line", "end_line", "kind", "symbol"]
+    return grown.select(*columns).union(rest.select(*columns))
+
+
 def inside_path(path: Column) -> Column:
     """A relative path without its dots, null if it is absolute or leads out of the root."""
     steps = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))

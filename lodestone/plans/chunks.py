@@ -97,18 +97,22 @@ def gaps_and_islands(spark, d):
     return lines.islands(document_line_table(spark, d), "doc_id", F.length("line") < 200)
 
 
-CODE_LINES = ["def a", "  x", "}", "", "def b", "  y", ");", "z = 1", "", "end", "def c", "  w", "})"]
-CODE_SPANS = [(0, 1, "function", "a"), (4, 5, "function", "b"), (10, 11, "function", "c")]
+CODE_LINES = ["def a", "  x", "}", "", "def b", "  y", ");", "z = 1", "", "end", "def c", "  w", "})", "", "]", "q"]
+CODE_SPANS = [(1, 2, "function", "a"), (5, 6, "function", "b"), (11, 12, "function", "c")]
+CODE_GAPS = [(3, 3, "module", "<module>"), (7, 10, "module", "<module>"), (13, 13, "class", "K"), (14, 15, "module", "<module>"), (16, 16, "module", "<module>")]
 
 
 @register(
     "structural_absorb",
-    "SELECT * FROM (VALUES (1, 3, 'function', 'a'), (5, 6, 'function', 'b'), (7, 10, 'module', '<module>'), (11, 13, 'function', 'c')) t(start_line, end_line, kind, symbol)",
+    "SELECT * FROM (VALUES (1, 3, 'function', 'a'), (5, 6, 'function', 'b'), (7, 10, 'module', '<module>'), (11, 15, 'function', 'c'), (16, 16, 'module', '<module>')) t(start_line, end_line, kind, symbol)",
 )
 def structural_absorb(spark, d):
-    """Gaps of literal lines: those that only close a construct go to it."""
-    found = chunking.absorb_closing(CODE_SPANS, chunking.gaps_of(CODE_SPANS, CODE_LINES, []), CODE_LINES)
-    return spark.createDataFrame([(a + 1, b + 1, k, s) for a, b, k, s in found], "start_line int, end_line int, kind string, symbol string")
+    """Gaps of a few lines: those that only close a construct go to it."""
+    kind = "file int, start_line int, end_line int, kind string, symbol string"
+    rows = spark.createDataFrame([(1, "\n".join(CODE_LINES))], "file int, text string")
+    spans, gaps = (spark.createDataFrame([(1, *x) for x in some], kind) for some in (CODE_SPANS, CODE_GAPS))
+    found = lines.absorb_closing(spans, gaps, lines.line_table(rows, "file", lines.code_lines(F.col("text"))), "file")
+    return found.select("start_line", "end_line", "kind", "symbol")
 
 
 @register(
