@@ -38,7 +38,7 @@ from lodestone.llm.shared import table
 K = 24
 WINDOW = 41
 ROWS_PER_SLICE = 2_000
-MAX_SLICES = 8_192
+MAX_SLICES = 131_072
 BASE = 0x9E3779B97F4A7C15
 BITS = 20
 BLOCK = (1 << BITS) - 1
