@@ -98,3 +98,23 @@ def basename(path: Column) -> Column:
 
 def location(path: Column, start: Column, end: Column) -> Column:
     return F.format_string("%s:%d-%d", path, start, end)
+
+
+def header(path: Column, start: Column, end: Column, kind: Column, symbol: Column, language: Column, part: Column, parts: Column) -> Column:
+    """A chunk in one line: place, kind, symbol, which part of how many, language."""
+    piece = F.when(parts > 1, F.format_string(" (part %d/%d)", part, parts)).otherwise("")
+    return F.concat(location(path, start, end), F.lit(" "), kind, F.lit(" "), symbol, piece, F.lit(" ["), language, F.lit("]"))
+
+
+def cost_line(model: Column, input_tokens: Column, output_tokens: Column) -> Column:
+    return F.format_string("%s  %d in / %d out", model, input_tokens, output_tokens)
+
+
+def cited_locations(answer: Column) -> Column:
+    """Every ``path:start-end`` of an answer once, in the order of first mention."""
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit("(?U)" + CITATION), F.lit(0)))
+
+
+def uncited_sources(cited: Column, retrieved: Column) -> Column:
+    """What was retrieved and never cited; the other way round it is what was cited and never retrieved."""
+    return F.filter(retrieved, lambda x: ~F.array_contains(cited, x))

@@ -28,4 +28,10 @@ def fuse(rankings: DataFrame, k: int = RRF_K, top_k: int = FINAL_TOP_K) -> DataF
 def explain(contributions: Column) -> Column:
     """``bm25 #1 + vector #2``: the retrievers that gave a row, by name."""
     parts = F.transform(F.array_sort(F.map_entries(contributions)), lambda e: F.format_string("%s #%d", e["key"], e["value"]))
+    return F.coalesce(F.nullif(F.array_join(parts, " + "), F.lit("")), F.lit("-"))
+
+
+def arithmetic(contributions: Column, k: int = RRF_K) -> Column:
+    """``1/(10+1) [bm25 #1] + 1/(10+2) [vector #2]``: a fused score term by term."""
+    parts = F.transform(F.array_sort(F.map_entries(contributions)), lambda e: F.format_string(f"1/({k}+%d) [%s #%d]", e["value"], e["key"], e["value"]))
     return F.array_join(parts, " + ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import FAILURE_ROWS
+from lodestone.config import ABLATION_RECALL_K, FAILURE_ROWS
 
 
 def matched(results: DataFrame, gold: DataFrame, on: list[str], by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -27,6 +27,15 @@ def question_metrics(answers: DataFrame, cutoffs: tuple[int, ...], by: tuple[str
     return answers.groupBy(*by).agg(*cols, F.coalesce(1 / F.min("position"), F.lit(0.0)).alias("rr"))
 
 
+def score_evidence(evidence: DataFrame, gold: DataFrame, on: list[str], k: int = ABLATION_RECALL_K) -> DataFrame:
+    """query_id, recall, rr over all that a configuration's attempts retrieved, in the order of first sight.
+
+    ``evidence``: query_id, ord and the columns ``on``, as ``agent.merge_evidence`` gives it.
+    """
+    found = matched(evidence.withColumnRenamed("ord", "position"), gold, on)
+    return question_metrics(found, (k,)).select("query_id", F.col(f"recall_{k}").alias("recall"), "rr")
+
+
 def score_table(outcomes: DataFrame, cutoffs: tuple[int, ...], retriever: str = "retriever") -> DataFrame:
     """Each retriever's mean recalls and reciprocal rank: per split over all, each style and each repository.
 

@@ -80,6 +80,15 @@ def comment_line(severity: Column, path: Column, line: Column, message: Column)
     return F.concat(F.rpad(F.upper(severity), 10, " "), F.lit(" "), path, F.lit(":"), line.cast("string"), F.lit("  "), message)
 
 
+def review_line(comments: DataFrame, totals: DataFrame, key: str = "diff_id") -> DataFrame:
+    """key, text: a review in one line; ``totals``: key, files, hunks."""
+    counts = [F.sum((F.col("severity") == s).cast("int")).alias(s) for s in SEVERITIES]
+    rows = totals.join(comments.groupBy(key).agg(F.count("*").alias("n"), *counts), key, "left")
+    named = F.concat_ws(", ", *[F.when(F.col(s) > 0, F.format_string(f"%d {s}", s)) for s in SEVERITIES])
+    named = F.coalesce(F.nullif(named, F.lit("")), F.lit("none"))
+    return rows.select(key, F.format_string("%d comments (%s) over %d hunks in %d files", F.coalesce("n", F.lit(0)), named, "hunks", "files").alias("text"))
+
+
 def review_summary(comments: DataFrame, totals: DataFrame, key: str = "diff_id") -> DataFrame:
     """key, and the review as JSON: summary, what was skipped, comments from the worst on.
 

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.lineage import shared_folder
+from lodestone.functions.text import cited_locations, cost_line, header, uncited_sources
+from lodestone.lineage import cut, shared_folder
 from lodestone.operators import agent, index_repo, judge, lines, metrics, providers, reports, retrieval, review, review_run
 from lodestone.operators.bm25 import ranked
 from lodestone.operators.ingest import chunk_documents, ingest
@@ -14,6 +15,7 @@ from lodestone.plans.answers import ANSWERS_SQL, CITED_SQL, answers
 from lodestone.plans.evaluation import OUTCOMES_SQL, outcomes
 from lodestone.plans.registry import register, table
 from lodestone.plans.retrieval import BM25_SQL, stats_sql, tokens_sql
+from lodestone.plans.search import SEARCH_SQL, corpus
 from lodestone.sources import files, gold
 from lodestone.sources.ignore import IgnoreRules
 
@@ -210,8 +212,8 @@ def review_limits(spark, d):
     i = F.col("doc_id").cast("string")
     one = F.concat(F.lit("diff --git a/d"), i, F.lit(" b/d"), i, F.lit("\n@@ -0,0 +1 @@\n+x"))
     diffs = table(spark, d, "documents").groupBy(F.col("lang").alias("diff_id")).agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("text"))
-    _, cut = review_run.review_diffs(review.parse_diff(diffs), providers.get_provider("scripted", {}, "[]"))
-    return cut.select("diff_id", "cut", "files")
+    _, limits = review_run.review_diffs(review.parse_diff(diffs), providers.get_provider("scripted", {}, "[]"))
+    return limits.select("diff_id", "cut", "files")
 
 
 @register(
@@ -283,3 +285,80 @@ def source_listing(spark, d):
     sources = reports.source_rows(found, "lang")
     cited = found.filter("even").select("lang", F.concat("file_path", F.lit(":1-9")).alias("location"))
     return reports.source_listing(sources, cited, "lang")
+
+
+@register(
+    "accumulated_evidence",
+    """WITH f AS (SELECT conv_id, length(text) % 4 AS id, turn AS attempt, 1 AS rank FROM conversations UNION ALL SELECT conv_id, length(text) % 3 + 2, turn, 2 FROM conversations),
+o AS (SELECT conv_id, id, attempt, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY attempt, rank) AS nth FROM f) WHERE nth = 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY attempt, rank) AS ord FROM o),
+g AS (SELECT DISTINCT conv_id, a AS id FROM conversations, (VALUES (0), (3), (9)) t(a)),
+m AS (SELECT g.conv_id, g.id, min(ord) AS position FROM g LEFT JOIN e USING (conv_id, id) GROUP BY ALL)
+SELECT conv_id AS query_id, round(count(CASE WHEN position <= 5 THEN 1 END)::DOUBLE / count(*), 6) AS recall, round(coalesce(1.0::DOUBLE / min(position), 0), 6) AS rr FROM m GROUP BY conv_id""",
+)
+def accumulated_evidence(spark, d):
+    """Recall and reciprocal rank over what all attempts of a request retrieved."""
+    rows = table(spark, d, "conversations")
+    one = rows.select("conv_id", (F.length("text") % 4).cast("long").alias("id"), F.col("turn").alias("attempt"), F.lit(1).alias("rank"))
+    two = rows.select("conv_id", (F.length("text") % 3 + 2).cast("long").alias("id"), F.col("turn").alias("attempt"), F.lit(2).alias("rank"))
+    evidence = agent.merge_evidence(one.union(two), "conv_id").withColumnRenamed("conv_id", "query_id")
+    gold_rows = rows.select(F.col("conv_id").alias("query_id")).distinct().select("query_id", F.explode(F.array(*[F.lit(a).cast("long") for a in (0, 3, 9)])).alias("id"))
+    found = metrics.score_evidence(evidence, gold_rows.withColumn("answer_id", F.col("id")), ["id"])
+    return found.select("query_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
+
+
+@register(
+    "ablation_runs",
+    f"WITH {SEARCH_SQL} SELECT 'vector' AS config, query_id AS question_id, rank AS position, id::VARCHAR AS answer_id FROM vec WHERE query_id % 200 <> 0 "
+    "UNION ALL SELECT 'bm25', query_id, rank, id::VARCHAR FROM kw UNION ALL SELECT 'vector', doc_id, 1, 'kept' FROM hd WHERE doc_id % 200 = 0",
+)
+def ablation_runs(spark, d):
+    """Two configurations over all questions; outcomes of one that are there already are not computed again."""
+    index, questions, held = corpus(spark, d)
+    asked = cut(questions).withColumnRenamed("query_id", "question_id")
+
+    def config(name):
+        def run(rows):
+            found = retrieval.search_code(index, rows.withColumnRenamed("question_id", "query_id"), 20, name)
+            return found.select(F.col("query_id").alias("question_id"), F.col("rank").alias("position"), F.col("id").cast("string").alias("answer_id"))
+
+        return run
+
+    prior = held.filter("id % 200 = 0").select(F.lit("vector").alias("config"), F.col("id").alias("question_id"), F.lit(1).alias("position"), F.lit("kept").alias("answer_id"))
+    found = providers.run_ablation(asked, {"vector": config("vector"), "bm25": config("bm25")}, prior)
+    return found.select("config", "question_id", "position", "answer_id")
+
+
+@register(
+    "chunk_headers",
+    """SELECT doc_id, 'd' || doc_id || '.md:' || (doc_id % 9 + 1) || '-' || (doc_id % 9 + 4) || ' doc s' || doc_id || CASE WHEN doc_id % 3 + 1 > 1 THEN ' (part 1/' || (doc_id % 3 + 1) || ')' ELSE '' END || ' [' || lang || ']' AS header,
+  source || '  ' || doc_id || ' in / ' || n_chars || ' out' AS cost FROM documents""",
+)
+def chunk_headers(spark, d):
+    i = F.col("doc_id")
+    name = i.cast("string")
+    one = header(F.concat(F.lit("d"), name, F.lit(".md")), i % 9 + 1, i % 9 + 4, F.lit("doc"), F.concat(F.lit("s"), name), F.col("lang"), F.lit(1), i % 3 + 1)
+    return table(spark, d, "documents").select("doc_id", one.alias("header"), cost_line(F.col("source"), i, F.col("n_chars")).alias("cost"))
+
+
+@register(
+    "answer_sources",
+    f"""WITH {ANSWERS_SQL}, p AS (SELECT doc_id, list_distinct_ordered.c AS cited, ['src/doc' || doc_id || '.md:' || (doc_id % 7 + 1) || '-' || (doc_id % 7 + 4), 'z.py:1-2'] AS retrieved
+  FROM (SELECT doc_id, list(c ORDER BY i) AS c FROM (SELECT doc_id, c, min(i) AS i FROM (SELECT doc_id, unnest(regexp_extract_all(answer, '[\\w./\\-]+\\.\\w+:\\d+-\\d+')) AS c, unnest(range(len(regexp_extract_all(answer, '[\\w./\\-]+\\.\\w+:\\d+-\\d+')))) AS i FROM answers) GROUP BY doc_id, c) GROUP BY doc_id) list_distinct_ordered)
+SELECT doc_id, array_to_string(cited, ' ') AS cited, array_to_string(list_filter(retrieved, lambda x: NOT list_contains(cited, x)), ' ') AS uncited, array_to_string(list_filter(cited, lambda x: NOT list_contains(retrieved, x)), ' ') AS unsupported FROM p""",
+)
+def answer_sources(spark, d):
+    """What an answer cites, what it was shown and never cites, and what it cites and never was shown."""
+    i = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    shown = F.array(F.concat(F.lit("src/doc"), s(i), F.lit(".md:"), s(i % 7 + 1), F.lit("-"), s(i % 7 + 4)), F.lit("z.py:1-2"))
+    rows = answers(spark, d).select("doc_id", cited_locations(F.col("answer")).alias("c"), shown.alias("r"))
+    join = lambda c: F.array_join(c, " ")
+    return rows.select("doc_id", join("c").alias("cited"), join(uncited_sources(F.col("c"), F.col("r"))).alias("uncited"), join(uncited_sources(F.col("r"), F.col("c"))).alias("unsupported"))
+
+
+@register("review_lines", f"WITH {COMMENTS_SQL} SELECT diff_id, count(*) || ' comments (' || concat_ws(', ', {', '.join(f"CASE WHEN count(CASE WHEN severity = '{s}' THEN 1 END) > 0 THEN count(CASE WHEN severity = '{s}' THEN 1 END) || ' {s}' END" for s in ('blocker', 'warning', 'suggestion', 'note'))}) || ') over 9 hunks in 3 files' AS text FROM c GROUP BY diff_id")
+def review_lines(spark, d):
+    comments = table_comments(spark, d)
+    totals = comments.select("diff_id").distinct().withColumns({"files": F.lit(3), "hunks": F.lit(9)})
+    return reports.review_line(comments, totals)
