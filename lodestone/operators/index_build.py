@@ -22,7 +22,7 @@ def document_text(path: Column, language: Column, kind: Column, symbol: Column,
     return F.concat(path, F.lit("\n"), F.concat_ws(" ", language, kind, symbol), F.lit("\n\n"), code)
 
 
-#: What is put before a question, so that its vector is one of a query.
+# Fixed value: what the public embedding models used here want before a question.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 EMBED_BATCH = 64
 

@@ -12,6 +12,7 @@ from lodestone.operators.review import severity_rank
 
 # ------------------------------------------------------------------ outcomes
 
+# What reports call the configurations.
 LABELS = {"vector": "vector only", "hybrid": "hybrid (RRF)", "rag": "agent, no reflection", "agent": "agent + reflection"}
 BREAKDOWN = [("factual", "kind"), ("explanatory", "kind"), ("semantic", "style"), ("lexical", "style")]
 
