@@ -2,7 +2,7 @@
 
 Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next stage's ``docs``.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``.  Each has the executors shrink their heaps first.
 
 1. toxicity: documents with a toxicity score of 0.5 or more go.
 2. exact_dedup: of equal texts (A-Z lower-cased) the row with the largest id stays.
@@ -20,26 +20,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from lodestone.llm.shared import shared_folder, spread
+from lodestone.llm.shared import shared_folder, shrink, spread
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink(spark)
     return toxicity.drop_toxic(docs, toxicity.learn(spark, docs, sf_dir))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink(spark)
     return near_dedup.drop_near_copies(docs, size=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink(spark)
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink(spark)
     return packing.pack(docs)
 
 

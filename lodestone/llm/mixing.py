@@ -32,6 +32,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,13 @@ NUMBERS = 1 << 24
 FAN = 256
 #: The table of sources is broadcast up to so many bytes, and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
+#: What the cluster has to know of a source.
+PLAN = pa.struct(
+    [
+        *[(c, pa.float64() if c == "goal" else pa.int64()) for c in ("total", "goal", "quota", "pass", "blocks", "mul", "add")],
+        ("ends", pa.list_(pa.list_(pa.int64()))),
+    ]
+)
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = CAP) -> dict[str | None, float]:
@@ -145,7 +153,9 @@ def mix_plan(
     sums = cut(placed(light).groupBy(src, bucket).agg(F.sum(size).alias(words), F.sum(first).alias(blocks)))
     offsets = sums.select(src, bucket, *[F.coalesce(F.sum(c).over(level), F.lit(0)).alias(c) for c in (words, blocks)])
     # blocks of a whole pass over a source, and of its last pass, which ends within the stream
-    rest = docs.sparkSession.createDataFrame([(s, quota[s] % total[s] if total[s] else 0) for s in total], f"{src} string, {start} long")
+    # tables of the driver's go as Arrow: lists of rows would start further Python workers, which stay on the executors
+    ends_in = pa.array([quota[s] % total[s] if total[s] else 0 for s in total], pa.int64())
+    rest = docs.sparkSession.createDataFrame(pa.table({src: pa.array(list(total), pa.string()), start: ends_in}))
     opened = placed(light).filter(F.col(first) == 1).join(offsets, [src, bucket]).join(rest, src)
     opened = opened.groupBy(src).agg(F.count("*").alias(blocks), F.count_if(F.col(before) + F.col(words) < F.col(start)).alias(words))
     whole = {r[0]: (r[1], r[2]) for r in opened.toLocalIterator()}
@@ -158,10 +168,9 @@ def mix_plan(
         count = max(1, counts[i])
         ends = np.cumsum([shard[i] for shard in per_shard]).tolist()
         ends = [ends[j : j + FAN] for j in range(0, shards, FAN)]
-        lines.append((s, (total[s], goal[name[s]], quota[s], whole.get(s, (0, 0))[0], count, _coprime(count, rng), rng.randrange(count), ends)))
-    sources = docs.sparkSession.createDataFrame(
-        lines, f"{src} string, {plan} struct<total:long,goal:double,quota:long,pass:long,blocks:long,mul:long,add:long,ends:array<array<long>>>"
-    )
+        values = (total[s], goal[name[s]], quota[s], whole.get(s, (0, 0))[0], count, _coprime(count, rng), rng.randrange(count), ends)
+        lines.append(dict(zip(PLAN.names, values, strict=True)))
+    sources = docs.sparkSession.createDataFrame(pa.table({src: pa.array(order, pa.string()), plan: pa.array(lines, PLAN)}))
     if 8 * shards * len(lines) <= BROADCAST_BYTES:
         sources = F.broadcast(sources)
     rows = placed(rows).withColumn(block, F.sum(first).over(local.rowsBetween(Window.unboundedPreceding, 0)) - 1)

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exact_dedup import PAGE, _hit, filter_bits
-from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, spread, sweep, table
+from lodestone.llm.shared import SLOT_BLOCKS, cut, fresh, merged_slots, release, salted_join, slot_blocks, spread, sweep, table, text_batches
 
 K = 64
 LOSS = 1e-9
@@ -301,14 +301,16 @@ def _joined(of_class: DataFrame, comps: DataFrame, more: DataFrame) -> DataFrame
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a row: doc_id, n_shingles, component_id (least linked id), kept."""
-    rows = cut(sketched(docs, id_col, text_col, size))
+    with text_batches(docs.sparkSession):
+        rows = cut(sketched(docs, id_col, text_col, size))
     classes = cut(
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "sketch", "low", "high")])
     )
     nodes, entries = _entries(classes, percent)
     sweep(docs.sparkSession)
-    sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), nodes, size))
-    rare = cut(_rare_entries(sets, _slot_counts(sets), percent))
+    with text_batches(docs.sparkSession):
+        sets = cut(_sets_of(_ids_and_texts(docs, id_col, text_col), nodes, size))
+        rare = cut(_rare_entries(sets, _slot_counts(sets), percent))
     stars = _star_pairs(entries, percent).union(_star_pairs(rare, percent, whole=True)).distinct()
     comps = components(cut(_verified(cut(stars), sets, percent)))
     sweep(docs.sparkSession)

@@ -45,7 +45,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, release, spread, table
+from lodestone.llm.shared import cut, release, spread, table, text_batches
 
 CAPACITY = 2048
 LARGE = (0.25, 0.34, 0.42, 0.5)
@@ -316,7 +316,8 @@ def pack(
     with_ids: bool = False,
 ) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there."""
-    pieces = cut(token_pieces(docs, id_col, text_col, capacity, vocabulary, with_ids))
+    with text_batches(docs.sparkSession):
+        pieces = cut(token_pieces(docs, id_col, text_col, capacity, vocabulary, with_ids))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     keys, rules = best_plan(counts, capacity).lookup()
     plan = docs.sparkSession.sparkContext.broadcast((keys, rules))

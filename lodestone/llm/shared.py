@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that go to a Python worker together, and how many of them at most where they hold whole texts.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +74,24 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Has the executors collect their garbage: a heap that an earlier step made large stays so otherwise, besides what the next one's Python workers take."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within sends texts to Python in batches of ``TEXT_ROWS`` rows at most; a batch of the usual 10,000 is held by both sides."""
+    before = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def release() -> None:
     """Gives back what Arrow and the C library hold unused; a Python worker outlives its task and counts on the executor."""
     pa.default_memory_pool().release_unused()

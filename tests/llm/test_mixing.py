@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing
@@ -110,3 +111,11 @@ def test_one_hot_source_and_empty(spark):
     assert mixing.mix(empty).count() == 0
     nothing = frame(spark, [(1, None, None, None, None, *[None] * 5), (2, "", None, "a", 0, *[None] * 5)])
     assert mixing.mix(nothing).count() == 0
+
+
+def test_tables_of_the_driver_start_no_python_workers(spark, monkeypatch):
+    rows = messy_rows(n=50)
+    docs = frame(spark, rows)
+    before = mixing.mix(docs).count()
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: 1 / 0)
+    assert mixing.mix(docs).count() == before > 0

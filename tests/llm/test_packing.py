@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestone.llm import packing
+from lodestone.llm import packing, shared
 from tests.llm.fixtures import frame, messy_rows
 
 
@@ -116,3 +117,19 @@ def test_repeated_rows_and_empty(spark):
     found = packing.pack(frame(spark, rows)).collect()
     assert len(found) == 5 and len({(r["sequence_id"], r["offset"]) for r in found}) == 5
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    seen, cut, usual = [], packing.cut, spark.conf.get(shared.BATCH_ROWS)
+    monkeypatch.setattr(packing, "cut", lambda df: seen.append(int(spark.conf.get(shared.BATCH_ROWS))) or cut(df))
+    assert packing.pack(frame(spark, messy_rows())).count() >= 60
+    assert seen and all(0 < n <= shared.TEXT_ROWS for n in seen)
+    assert spark.conf.get(shared.BATCH_ROWS) == usual
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with shared.text_batches(spark):
+        found = shared.cut(spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long"))
+    assert sorted(r["n"] for r in found.collect()) == [500, 1000, 1000]

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from lodestone.llm import mixing, shared, toxicity
-from tests.llm.fixtures import messy_rows, write_tables
+from tests.llm.fixtures import frame, messy_rows, write_tables
 from tests.llm.test_near_dedup import brute, near_cluster
 from tests.llm.test_toxicity import labelled
 
@@ -84,3 +84,13 @@ def test_stages_keep_columns_with_the_names_of_their_own(spark, tmp_path):
         found = stage(spark, docs, folder)
         assert found.columns == docs.columns, name
         assert all(r[c] == c for r in found.collect() for c in more), name
+
+
+def test_stages_shrink_the_heap_first(spark, tmp_path):
+    docs = frame(spark, messy_rows(n=30)).select("doc_id", "text", "lang", "source", "n_chars")
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before, name
