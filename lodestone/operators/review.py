@@ -195,7 +195,8 @@ def dedupe_comments(comments: DataFrame, order: list[str]) -> DataFrame:
 
 
 def sort_comments(comments: DataFrame) -> DataFrame:
-    return comments.orderBy(severity_rank(F.col("severity")), "path", "line")
+    """The worst first, then by file, line and message; what is missing comes last."""
+    return comments.orderBy(*[F.asc_nulls_last(c) for c in (severity_rank(F.col("severity")), F.col("path"), F.col("line"), F.col("message"))])
 
 
 def severity_counts(comments: DataFrame) -> DataFrame:

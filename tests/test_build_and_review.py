@@ -56,3 +56,10 @@ def test_comment_order_and_dedupe(spark):
     kept = review.dedupe_comments(df, ["ord"])
     assert [r["ord"] for r in review.sort_comments(kept).collect()] == [3, 4, 1]
     assert tuple(review.severity_counts(kept).first()) == (1, 1, 0, 1)
+
+
+def test_comments_of_one_line_are_ordered_by_message(spark):
+    rows = [("b.py", 1, "blocker", f"m{i}") for i in range(50, 9, -1)] + [(None, 1, "blocker", "a"), ("b.py", None, "blocker", "a"), ("a.py", 1, None, "a")]
+    df = spark.createDataFrame(rows, "path string, line int, severity string, message string").repartition(3)
+    found = [(r["path"], r["line"], r["message"]) for r in review.sort_comments(df).collect()]
+    assert found == [("b.py", 1, f"m{i}") for i in range(10, 51)] + [("b.py", None, "a"), (None, 1, "a"), ("a.py", 1, "a")]
