@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import BM25_B, BM25_IDF_FLOOR, BM25_K1
 from lodestone.functions.text import TermCounter
-from lodestone.lineage import cut
+from lodestone.lineage import FEW_ROWS, cut
 
 
 #: Bytes of text whose terms a task holds at once, if one text isn't longer; and rows.
@@ -101,11 +101,17 @@ def bm25_scores(index: KeywordIndex, questions: DataFrame, question_id: str, que
     """query_id, id, score for every document that shares a term with the question.
 
     Only postings of the questions' terms go on; these are a batch of questions, small against the
-    corpus, and the optimizer decides by their size how to join.
+    corpus, so that postings are met where they lie.  What moves is each posting once, however many
+    questions have its term: a document's postings come together before they meet the questions.
     """
     asked = postings(term_table(questions, question_id, question_text)).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("times"))
-    weights = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    scored = index.postings.join(weights, "term").join(F.broadcast(index.stats))
+    weights = cut(asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
+    hits = index.postings
+    if weights.count() <= FEW_ROWS:
+        weights = F.broadcast(weights)
+        parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hits = hits.join(weights.select("term"), "term", "left_semi").repartition(parts, "id")
+    scored = hits.join(weights, "term").join(F.broadcast(index.stats))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))

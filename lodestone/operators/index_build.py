@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.lineage import only
+
 
 def cache_key(model: Column | str, text: Column) -> Column:
     """Content address of a text under a model."""
@@ -66,17 +68,22 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
 
 
-def missing_keys(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    """Each key once that the cache lacks."""
-    return wanted.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+def missing_keys(wanted: DataFrame, cache: DataFrame, key: str = "key", row: str | None = None) -> DataFrame:
+    """Each key once that the cache lacks.  Where ``row`` names a column that tells the rows apart, only that and the key move."""
+    if row is None:
+        return wanted.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(row)) == 1
+    known = cache.select(key, F.lit(True).alias("known")).distinct()
+    flags = wanted.select(row, key).withColumn("first", first).join(known, key, "left")
+    return only(wanted, flags.select(row, (F.col("first") & F.col("known").isNull()).alias("kept")), row)
 
 
-def embed_with_cache(chunks: DataFrame, cache: DataFrame, embed, key: str = "key") -> tuple[DataFrame, DataFrame]:
+def embed_with_cache(chunks: DataFrame, cache: DataFrame, embed, key: str = "key", row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks with vectors, the cache with the new ones): each missing text is embedded once.
 
-    ``embed(rows)`` adds a column ``vector``.
+    ``embed(rows)`` adds a column ``vector``; ``row`` as in ``missing_keys``.
     """
-    new = embed(missing_keys(chunks, cache, key)).select(key, "vector")
+    new = embed(missing_keys(chunks, cache, key, row)).select(key, "vector")
     full = cache.select(key, "vector").unionByName(new)
     return chunks.join(full, key), full
 

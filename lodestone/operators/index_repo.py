@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.lineage import cut
+from lodestone.lineage import cut, only
 from lodestone.operators import bm25
 from lodestone.operators import index_build as ib
 from lodestone.operators.chunking import CHUNK_SCHEMA
@@ -32,12 +32,22 @@ class IndexStats:
     hit_rate: float
 
 
+def document() -> Column:
+    """What both indexes see of a chunk; it is made of the chunk's columns where it is read."""
+    return ib.document_text(F.col("file_path"), F.col("language"), F.col("kind"), F.col("symbol"), F.col("code"))
+
+
 def with_keys(chunks: DataFrame, model: str) -> DataFrame:
-    """Chunks, one a chunk id (the first wins), with chunk_id, document text and cache key."""
+    """Chunks, one a chunk id (the first wins), with chunk_id, cache key, row (its number) and document text.
+
+    Texts stay where they are: rows that another one has the chunk id of are found by their columns
+    besides the text.
+    """
     name = ib.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("part"))
-    text = ib.document_text(F.col("file_path"), F.col("language"), F.col("kind"), F.col("symbol"), F.col("code"))
-    rows = chunks.withColumns({"chunk_id": name, "document": text}).withColumn("key", ib.cache_key(model, F.col("document")))
-    return ib.first_wins(rows, ["chunk_id"], ["file_path", "start_line", "symbol"])
+    rows = cut(chunks.withColumns({"chunk_id": name, "key": ib.cache_key(model, document()), "row": F.monotonically_increasing_id()}))
+    w = Window.partitionBy("chunk_id").orderBy("file_path", "start_line", "symbol", "row")
+    flags = rows.select("chunk_id", "file_path", "start_line", "symbol", "row").select("row", (F.row_number().over(w) == 1).alias("kept"))
+    return only(rows, flags, "row").withColumn("document", document())
 
 
 def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str, embed, dimension: int | None = None) -> IndexStats:
@@ -47,7 +57,7 @@ def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str,
     chunks that are gone are pruned; those of another model are dropped.  A build that finds no chunk while
     the index has some keeps the index.  The tables are published together, see ``write_version``.
     """
-    new = cut(with_keys(chunks, model))
+    new = with_keys(chunks, model)
     there = current_version(spark, folder) or f"{folder}/none"
     old = read_or_empty(spark, f"{there}/vectors", VECTORS).filter(F.col("model") == model)
     cache = read_or_empty(spark, f"{there}/cache", CACHE).filter(F.col("model") == model)
@@ -57,13 +67,13 @@ def build_index(spark: SparkSession, chunks: DataFrame, folder: str, model: str,
     if total == 0 and not old.isEmpty():
         return IndexStats(0, 0, 0, 0, 0.0)
     stats = ib.cache_stats(new, cache).first()
-    rows, full = ib.embed_with_cache(new, cache, embed)
+    rows, full = ib.embed_with_cache(new, cache, embed, row="row")
     full = cut(full.withColumn("model", F.lit(model)).select("key", "model", "vector"))
     vectors = new.join(full, "key").select("chunk_id", "model", "vector")
     pruned = ib.stale(old, new, "chunk_id").count()
     keyword = bm25.build_index(new, "chunk_id", "document")
     by_term = keyword.postings.repartitionByRange("term").sortWithinPartitions("term")  # a term's postings lie together
-    tables = {"cache": full, "vectors": vectors, "chunks": new.drop("key"), "postings": by_term, "terms": keyword.terms, "stats": keyword.stats}
+    tables = {"cache": full, "vectors": vectors, "chunks": new.drop("key", "row", "document"), "postings": by_term, "terms": keyword.terms, "stats": keyword.stats}
     write_version(spark, folder, tables)
     return IndexStats(total, stats["computed"], stats["cached"], pruned, stats["hit_rate"])
 
@@ -74,7 +84,7 @@ def index_tree(spark: SparkSession, root: str, folder: str, model: str, embed) -
 
 
 TABLES = {
-    "chunks": f"{CHUNK_SCHEMA}, chunk_id string, document string",
+    "chunks": f"{CHUNK_SCHEMA}, chunk_id string",
     "vectors": VECTORS,
     "postings": "id string, length int, term string, tf int",
     "terms": "term string, df long, idf double",
@@ -87,7 +97,8 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     there = current_version(spark, folder)
     if there is None:
         raise MissingIndexError(folder)
-    return {name: read_or_empty(spark, f"{there}/{name}", schema) for name, schema in TABLES.items()}
+    tables = {name: read_or_empty(spark, f"{there}/{name}", schema) for name, schema in TABLES.items()}
+    return tables | {"chunks": tables["chunks"].withColumn("document", document())}
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:

@@ -92,3 +92,46 @@ def test_credentials(monkeypatch):
         providers.get_provider("hosted")
     monkeypatch.setenv("SOME_KEY", "x")
     assert providers.get_provider("hosted")(["a"]) == ["a"]
+
+
+def test_texts_stay_in_place(spark, tmp_path):
+    """Ids, keys and terms move in a build, texts do not; chunks with one id or one text are found all the same."""
+    columns = "code string, language string, file_path string, symbol string, kind string, start_line int, end_line int, part int, part_count int"
+    rows = [(f"text {i}", "Text", f"d{i}.txt", "s", "doc", 1, 1, 1, 1) for i in range(100)]
+    rows += [("later", "Text", "d3.txt", "t", "doc", 1, 1, 1, 1), ("text 3", "Text", "d3.txt", "s", "doc", 1, 1, 2, 2)]  # an id twice, a text twice
+    chunks, seen, plan = spark.createDataFrame(rows, columns).repartition(4), [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(index_repo.with_keys(chunks, "m"))
+
+    def counted(missing):
+        assert "hashpartitioning" not in plan(missing)
+        seen.extend(r["document"] for r in missing.select("document").collect())
+        return embed(missing)
+
+    stats = index_repo.build_index(spark, chunks, str(tmp_path / "index"), "m", counted)
+    assert (stats.chunks, stats.computed, len(seen), len(set(seen))) == (101, 100, 100, 100)
+    tables = index_repo.load_index(spark, str(tmp_path / "index"))
+    assert tables["vectors"].count() == tables["chunks"].count() == 101
+    assert tables["chunks"].filter("chunk_id = 'd3.txt:1-1#1'").first()["document"] == "d3.txt\nText doc s\n\ntext 3"
+    again = index_repo.build_index(spark, chunks.withColumn("code", F.when(F.col("symbol") == "t", "other").otherwise(F.col("code"))), str(tmp_path / "index"), "m", embed)
+    assert (again.chunks, again.computed, again.cached) == (101, 0, 101)
+
+
+@pytest.mark.parametrize("few", [0, 1, 3, 99])
+def test_only_keeps_what_is_flagged(spark, monkeypatch, few):
+    from lodestone import lineage
+
+    monkeypatch.setattr(lineage, "FEW_ROWS", few)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(8)], "row long, text string")
+    flags = rows.select("row", (F.col("row") % 4 != 1).alias("kept"))
+    assert sorted(r["row"] for r in lineage.only(rows, flags, "row").collect()) == [0, 2, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_scores_of_few_and_of_many_questions(spark, monkeypatch, few):
+    from lodestone.operators import bm25
+
+    monkeypatch.setattr(bm25, "FEW_ROWS", few)
+    docs = spark.createDataFrame([(i, " ".join(f"word{j}" for j in range(i % 5 + 1)) + f" only{i}") for i in range(20)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"word{q} word4 only{q}") for q in range(5)], "q long, text string")
+    found = bm25.bm25_scores(bm25.build_index(docs, "id", "text"), asked, "q", "text")
+    assert found.count() == found.select("query_id", "id").distinct().count() == sum(1 for q in range(5) for i in range(20) if i % 5 >= q or i == q)
